@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing
+from . import decontaminate, fingerprints, jaccard, langid, licenses, linededup, packing, pii, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_read(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.spans(_read(spark, sf_dir, "documents")))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(jaccard.join(_read(spark, sf_dir, "documents")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -19,10 +35,31 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents")).drop("detections")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_license_scans, op9_benchmark_decontamination)}
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.search(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_pii,
+        op3_ngram_jaccard_join,
+        op4_toxicity,
+        op5_best_fit_packing,
+        op6_license_scans,
+        op8_language_id,
+        op9_benchmark_decontamination,
+        op10_media_columns,
+    )
+}
 
 ORACLE: dict[str, str] = {}
