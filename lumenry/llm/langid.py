@@ -185,14 +185,25 @@ def hash_of(text: str) -> int:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns with ``lang_pred`` and ``score`` added."""
+    """All rows and columns with ``lang_pred`` and ``score`` added (or replaced)."""
+    found = docs.withColumn("_p", _predictor(docs, model)("text"))
+    return found.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+
+
+def _predictor(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_p", run("text")).withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    return run
+
+
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows, all columns unchanged, whose language is predicted with at least this score."""
+    found = docs.withColumn("_p", _predictor(docs, model)("text"))
+    return found.where((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= least)).drop("_p")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -99,22 +99,23 @@ class Rule:
     priority: int
 
 
-def _alternatives(expression: str) -> list[str]:
-    """Top-level alternatives, their groups removed."""
-    out, depth, at = [], 0, ""
+def _split(expression: str) -> list[str]:
+    """Top-level alternatives of an expression."""
+    out, depth = [""], 0
     for ch in expression:
         depth += (ch == "(") - (ch == ")")
         if ch == "|" and not depth:
-            out.append(at)
-            at = ""
+            out.append("")
         else:
-            at += ch
-    flat = []
-    for x in [*out, at]:
-        while re.search(r"\([^()]*\)", x):
-            x = re.sub(r"\([^()]*\)\??", " ", x)
-        flat.append(x)
-    return flat
+            out[-1] += ch
+    return out
+
+
+def _plain(expression: str) -> str:
+    """An alternative without its groups."""
+    while re.search(r"\([^()]*\)", expression):
+        expression = re.sub(r"\([^()]*\)\??", " ", expression)
+    return expression
 
 
 @cache
@@ -122,17 +123,19 @@ def rules() -> tuple[Rule, ...]:
     """Every family and version in every frame, then the notices; highest priority first."""
     out = []
     for label, name, versions in FAMILIES:
-        keys = tuple(frozenset(re.findall(r"\b[a-z0-9]{2,}\b", re.sub(r"\w*\[\w+\]\w*|\w+ \?\w+", " ", x))) for x in _alternatives(name))
         for version in ("", *versions):
             suffix = rf"(?: license)?(?: version| v)? ?{version}(?: license)?" if version else "(?: license)?"
             for frame, score, priority in FRAMES:
-                bare = frame == "{n}"
-                if bare and not version and " " not in name.split("|")[0]:
-                    continue  # a short name alone says nothing
+                shown = name
+                if frame == "{n}" and not version:  # a short name alone says nothing
+                    shown = "|".join(x for x in _split(name) if " " in x)
+                    if not shown:
+                        continue
+                keys = tuple(frozenset(re.findall(r"\b[a-z0-9]{2,}\b", re.sub(r"\w*\[\w+\]\w*|\w+ \?\w+", " ", _plain(x)))) for x in _split(shown))
                 out.append(
                     Rule(
                         label + ("-" + version.replace(" ", ".").replace(".clause", "-clause") if version else ""),
-                        re.compile(r"(?<= )" + frame.format(n=f"(?:{name}){suffix}") + r"(?= )"),
+                        re.compile(r"(?<= )" + frame.format(n=f"(?:{shown}){suffix}") + r"(?= )"),
                         keys,
                         score,
                         priority + bool(version),

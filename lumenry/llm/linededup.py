@@ -36,32 +36,36 @@ def normal_form(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]++", " "))
 
 
-def _lanes(hashes: Column, width: int) -> Column:
-    """Sums over words of the hash bits, in lanes of ``width`` bits: lane q of sum i counts hash bit width*q+i. The highest lane must stay below its sign bit."""
-    ones = F.lit(sum(1 << (width * q) for q in range(64 // width)))
-    zero = F.struct(*(F.lit(0).cast("long").alias(f"c{i}") for i in range(width)))
-    return F.aggregate(
-        hashes,
-        zero,
-        lambda a, h: F.struct(*((a[f"c{i}"] + F.shiftright(h, i).bitwiseAND(ones)).alias(f"c{i}") for i in range(width))),
-    )
+#: Words are counted in lanes of 16 bits, four in a long; the highest must stay below its sign bit.
+LANE = 16
+#: Lines of at least so many characters may have more words than lanes count, and are counted bit by bit.
+LONG_LINE = 2 * ((1 << (LANE - 1)) - 1)
+
+
+def _position(bit: int) -> int:
+    """Where a hash bit stands in the signature: lanes that are compared together stand in one mask."""
+    m, k = divmod(bit, 8)
+    return 8 * m + 2 * k if m % 2 == 0 else 8 * (m - 1) + 2 * k + 1
+
 
+def _lane_sums(h: Column) -> list[Column]:
+    """Sums over rows of the hash bits: lane q of sum c<i> counts bit 16q+i."""
+    ones = F.lit(sum(1 << (LANE * q) for q in range(64 // LANE)))
+    return [F.sum(F.shiftright(h, i).bitwiseAND(ones)).alias(f"c{i}") for i in range(LANE)]
 
-def _majority(total: Column, n: Column, width: int) -> Column:
-    """Signature bits from lane sums: hash bit b = 8m+i stands at 8m+2i if m is even, else at 8(m-1)+2i+1."""
-    wide = 2 * width
-    ones = sum(1 << (wide * q) for q in range(64 // wide))
-    lanes = F.lit(ones * ((1 << width) - 1))
-    # a lane reaches bit `width` exactly if its count is over n/2
-    lift = (F.lit(1 << width) - F.floor(n / 2).cast("long") - 1) * F.lit(ones)
+
+def _majority(n: Column) -> Column:
+    """The signature from lane sums: a bit for every hash bit that more than half of n words have."""
+    ones = sum(1 << (2 * LANE * q) for q in range(64 // (2 * LANE)))
+    lanes = F.lit(ones * ((1 << LANE) - 1))
+    # a lane reaches the bit above it exactly if its count is over n/2
+    lift = (F.lit(1 << LANE) - F.floor(n / 2).cast("long") - 1) * F.lit(ones)
     out = F.lit(0).cast("long")
-    for i in range(width):
+    for i in range(LANE):
         for odd in (0, 1):
-            own = F.shiftrightunsigned(total[f"c{i}"], width * odd).bitwiseAND(lanes)
-            bits = F.shiftrightunsigned(own + lift, width).bitwiseAND(F.lit(ones))
-            first = width * odd + i  # the hash bit of the lowest lane
-            m, k = divmod(first, 8)
-            out = out.bitwiseOR(F.shiftleft(bits, 8 * m + 2 * k if m % 2 == 0 else 8 * (m - 1) + 2 * k + 1))
+            own = F.shiftrightunsigned(f"c{i}", LANE * odd).bitwiseAND(lanes)
+            bits = F.shiftrightunsigned(own + lift, LANE).bitwiseAND(F.lit(ones))
+            out = out.bitwiseOR(F.shiftleft(bits, _position(LANE * odd + i)))
     return out
 
 
@@ -69,26 +73,15 @@ def _bit_counter(b: int):
     return lambda a, h: a + F.shiftright(h, b).bitwiseAND(F.lit(1).cast("long"))
 
 
-def _counted(hashes: Column, n: Column) -> Column:
-    """The same signature bit by bit, for lines of more words than lanes can count."""
+def _counted(hashes: Column) -> Column:
+    """The same signature bit by bit from an array of hashes."""
     out = F.lit(0).cast("long")
     for b in range(64):
-        m, k = divmod(b, 8)
         on = F.aggregate(hashes, F.lit(0).cast("long"), _bit_counter(b))
-        bit = F.shiftleft(F.lit(1).cast("long"), 8 * m + 2 * k if m % 2 == 0 else 8 * (m - 1) + 2 * k + 1)
-        out = out.bitwiseOR(F.when(on * 2 > n, bit).otherwise(F.lit(0).cast("long")))
+        out = out.bitwiseOR(F.when(on * 2 > F.size(hashes), F.shiftleft(F.lit(1).cast("long"), _position(b))).otherwise(F.lit(0).cast("long")))
     return out
 
 
-def with_simhash(df: DataFrame, column: str) -> DataFrame:
-    """``sig``: the 64-bit SimHash of the column's words, a bit set where more than half of the words' hashes have it."""
-    df = df.withColumn("_h", F.transform(F.split(column, " "), lambda w: F.xxhash64(w))).withColumn("_n", F.size("_h"))
-    h, n = F.col("_h"), F.col("_n")
-    df = df.withColumn("_l8", F.when(n < 128, _lanes(h, 8))).withColumn("_l16", F.when((n >= 128) & (n < 32768), _lanes(h, 16)))
-    sig = F.when(n < 128, _majority(F.col("_l8"), n, 8)).when(n < 32768, _majority(F.col("_l16"), n, 16)).otherwise(_counted(h, n))
-    return df.withColumn("sig", sig).drop("_h", "_n", "_l8", "_l16")
-
-
 def block_masks(distance: int, matching: int) -> list[int]:
     """One mask for every choice of ``matching`` of ``matching + distance`` blocks of the 64 bits."""
     n = matching + distance
@@ -121,76 +114,96 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, pos, node, size, sig) of every line: node its normal form's md5, sig the 64-bit SimHash over its words.
+
+    Words are exploded and added up by line in generated code; a line's words are in one task, so the exchange has a row a line.
+    """
+    key = ["doc_id", "h", "pos", "node", "size"]
+    own = lines(docs).select("doc_id", "h", "pos", F.unhex(F.md5("norm")).alias("node"), F.length("norm").alias("size"), "norm")
+    word = own.where(F.col("size") < LONG_LINE).select(*key, F.explode(F.split("norm", " ")).alias("w"))
+    sums = word.select(*key, F.xxhash64("w").alias("x")).groupBy(*key).agg(F.count("*").alias("words"), *_lane_sums(F.col("x")))
+    short = sums.select(*key, _majority(F.col("words")).alias("sig"))
+    rare = lines(docs.where(F.length("text") >= LONG_LINE)).select("doc_id", "h", "pos", F.unhex(F.md5("norm")).alias("node"), F.length("norm").alias("size"), "norm")
+    hashed = rare.where(F.col("size") >= LONG_LINE).withColumn("x", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
+    return short.unionByName(hashed.select(*key, _counted(F.col("x")).alias("sig"))).distinct()
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, norm) of wanted (node, first), from the documents that hold them."""
-    wanted = wanted.select("node", F.col("first.doc_id").alias("w_id"), F.col("first.h").alias("w_h"), F.col("first.pos").alias("w_pos")).distinct()
+    """(id, norm) of wanted (id, first), from the documents that hold them."""
+    wanted = wanted.select("id", F.col("first.doc_id").alias("w_id"), F.col("first.h").alias("w_h"), F.col("first.pos").alias("w_pos"))
     ids = wanted.select("w_id", "w_h").distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     small = ids.count() <= BROADCAST_ROWS
     source = source.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")), "left_semi")
-    source = source.dropDuplicates(["doc_id", "h"])
-    found = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")))
-    return found.select("node", normal_form(F.element_at(F.split("text", "\n"), F.col("w_pos") + 1)).alias("norm"))
+    rows = source.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")) & (F.col("pos") == F.col("w_pos"))
+    few = small and wanted.count() <= BROADCAST_ROWS
+    found = rows.join(F.broadcast(wanted) if few else wanted, on)
+    return found.select("id", normal_form(F.col("line")).alias("norm"))
 
 
-def _verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Edges (u, v) of candidate pairs of short ids (a, b) that are near by signature and by edit similarity."""
-    side = lambda s: unique.select(F.col("id").alias(s), F.struct("node", "sig", "first", "size").alias(f"n{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("na.sig").bitwiseXOR(F.col("nb.sig"))) <= distance)
+def _similar(a: str, b: str, similarity: float) -> Column:
+    """Edit similarity of two columns at the threshold or above. Near pairs are told by a narrow band, others by the full one."""
+    limit = f"cast(floor(greatest(length({a}), length({b})) * {1 - similarity} + 1e-9) as int)"
+    return F.expr(f"levenshtein({a}, {b}, least({limit}, 16)) >= 0 or ({limit} > 16 and levenshtein({a}, {b}, {limit}) >= 0)")
+
+
+def _verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame, distance: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) of candidate pairs of ids (a, b) that are near by signature and by edit similarity, and the
+    rows (id, node, first, n) of the lines that were looked at."""
+    side = lambda s: unique.select(F.col("id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("size").alias(f"size_{s}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= distance)
     # a difference in length is a lower bound of the edit distance
-    longer = F.greatest("na.size", "nb.size")
-    near = table(near.where(F.abs(F.col("na.size") - F.col("nb.size")) <= (1 - similarity) * longer).select("na", "nb"))
-    wanted = near.select(F.explode(F.array("na", "nb")).alias("n")).select("n.node", "n.first")
-    texts = table(_texts(docs, wanted))
-    left, right = (texts.select(F.col("node").alias(f"node_{s}"), F.col("norm").alias(f"norm_{s}")) for s in "ab")
-    both = near.select(F.col("na.node").alias("node_a"), F.col("nb.node").alias("node_b")).join(left, "node_a").join(right, "node_b")
-    longer = F.greatest(F.length("norm_a"), F.length("norm_b"))
-    limit = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-    # only the threshold form of levenshtein is banded; it takes a literal, so limits are tried in doubling steps
-    far = F.lit(-1)
-    banded = F.when(limit > 1024, F.levenshtein("norm_a", "norm_b"))
-    for k in (1024, 256, 64, 16):
-        banded = F.when(limit <= k, F.levenshtein("norm_a", "norm_b", k)).otherwise(banded)
-    edit = both.withColumn("_d", banded).where((F.col("_d") != far) & (F.col("_d") <= limit))
-    return table(edit.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct())
+    longer = F.greatest("size_a", "size_b")
+    near = table(near.where(F.abs(F.col("size_a") - F.col("size_b")) <= (1 - similarity) * longer + 1e-9).select("a", "b"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    seen = table(unique.select("id", "node", "first", "n").join(wanted, "id", "left_semi"))
+    texts = table(_texts(docs, seen).distinct())
+    left, right = (texts.select(F.col("id").alias(s), F.col("norm").alias(f"norm_{s}")) for s in "ab")
+    edges = near.join(left, "a").join(right, "b").where(_similar("norm_a", "norm_b", similarity))
+    # ids are hashes of nodes: the edge is between the nodes of the texts compared
+    edges = edges.select(F.unhex(F.md5("norm_a")).alias("u"), F.unhex(F.md5("norm_b")).alias("v"))
+    return table(edges.distinct()), seen
 
 
 def groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, matching: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, groups): (doc_id, h, pos, node) of every line; (node, kept, n) of nodes that occur again or are linked."""
-    occurrences = table(
-        with_simhash(lines(docs), "norm").select("doc_id", "h", "pos", F.unhex(F.md5("norm")).alias("node"), "sig", F.length("norm").alias("size"))
-    )
+    """(occurrences, groups): (doc_id, h, pos, node) of every line; (node, kept) of nodes that occur again or are linked."""
+    every = table(occurrences(docs))
     unique = table(
-        occurrences.groupBy("node").agg(
-            F.min(F.struct("doc_id", "h", "pos")).alias("first"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("size").alias("size")
-        ).withColumn("id", F.xxhash64("node"))
+        every.groupBy("node")
+        .agg(F.min(F.struct("doc_id", "h", "pos")).alias("first"), F.count("*").alias("n"), F.max("sig").alias("sig"), F.max("size").alias("size"))
+        .withColumn("id", F.xxhash64("node"))
     )
     masks = block_masks(distance, matching or matching_blocks(unique.count(), distance))
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("sig").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)))
     bucket = Window.partitionBy("key")
     rows = unique.select("id", F.explode(keys).alias("key"))
     shared = table(rows.select("key", "id", F.min("id").over(bucket).alias("lead"), F.max("id").over(bucket).alias("last")).where("lead <> last").drop("last"))
-    links = _verified(shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), unique, docs, distance, similarity)
-    first = table(components(links))
+    links, seen = _verified(shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), unique, docs, distance, similarity)
+    linked = table(components(links))
     # second pass: what one bucket holds of different components, or of none yet
-    known = first.join(unique.select("node", "id"), "node").select("id", F.xxhash64("component").alias("c"))
+    known = linked.join(seen.select("node", "id"), "node").select("id", F.xxhash64("component").alias("c"))
     marked = shared.join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    mixed = marked.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 and size > 2").select("key")
+    mixed = marked.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).where("c0 <> c1 and k > 2").select("key")
     left = table(marked.join(mixed, "key"))
-    right = left.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("lead").alias("lead_b"))
+    right = left.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
     # pairs with the bucket's first node have been compared
     pairs = left.select("key", F.col("id").alias("a"), "c", "lead").join(right, "key").where("a < b and c <> d and a <> lead").select("a", "b").distinct()
-    more = _verified(pairs, unique, docs, distance, similarity)
-    linked = components(links.unionByName(more)) if more.head(1) else first
-    nodes = unique.join(linked, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
+    more, also = _verified(pairs, unique, docs, distance, similarity)
+    if more.head(1):
+        linked, seen = components(links.unionByName(more)), seen.unionByName(also).distinct()
+    again = unique.where("n > 1").select("node", F.col("first").alias("f1"), F.col("n").alias("n1"))
+    looked = linked.join(seen.select("node", F.col("first").alias("f2"), F.col("n").alias("n2")), "node")
+    nodes = again.join(looked, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("f1", "f2").alias("first"), F.coalesce("n1", "n2").alias("n"))
     kept = nodes.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n"))
-    return occurrences.drop("sig", "size"), table(nodes.select("node", "component").join(kept, "component").drop("component"))
+    return every.drop("sig", "size"), table(nodes.select("node", "component").join(kept, "component").drop("component"))
 
 
 def dropped_lines(docs: DataFrame, **parameters) -> DataFrame:
     """(doc_id, h, drops): line numbers to drop of each document that loses lines."""
-    occurrences, found = groups(docs, **parameters)
-    again = occurrences.join(found, "node").where(~F.struct("doc_id", "h", "pos").eqNullSafe(F.col("kept")))
+    every, found = groups(docs, **parameters)
+    again = every.join(found, "node").where(~F.struct("doc_id", "h", "pos").eqNullSafe(F.col("kept")))
     return table(again.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("drops")))
 
 

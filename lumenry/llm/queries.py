@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, jaccard, langid, licenses, linededup, packing, pii, toxicity
+from . import decontaminate, fingerprints, jaccard, langid, licenses, linededup, maxent, packing, pii, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
         op4_toxicity,
         op5_best_fit_packing,
         op6_license_scans,
+        op7_lm_scoring,
         op8_language_id,
         op9_benchmark_decontamination,
         op10_media_columns,
