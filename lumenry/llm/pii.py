@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 #: Kinds in the order in which spans of the same start are listed; the first four are base kinds.
 KINDS = ("email", "ip", "card", "phone", "local_phone", "ssn", "iban", "secret", "person")
 BASE = KINDS[:4]
@@ -321,7 +323,7 @@ def _joined(spans: Column) -> Column:
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added): base spans, and accepted spans that no base span overlaps."""
-    found = candidates(docs)
+    found = table(candidates(docs))  # one pass over the texts: their spans are few
     seen = patterns(found)
     _, _, post = reliabilities(seen) if seen else ({}, {}, [])
     taken = accepted(seen, classifier(seen, post))
