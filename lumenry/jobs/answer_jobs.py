@@ -53,7 +53,7 @@ RAW = """raw AS (SELECT l_orderkey AS qid, ['multi', 'mcq', 'tf'][CAST(l_orderke
 
 
 @query(f"""WITH {RAW}, own AS (SELECT *, string_split(answer, '') AS o FROM raw)
-SELECT f AS answer_format, reason, count(*) AS n FROM (SELECT f, CASE WHEN len(list_filter(o, x -> x NOT IN ('A', 'B', 'C', 'D', 'E'))) > 0 THEN 'unknown_option' WHEN f IN ('mcq', 'tf') AND length(answer) <> 1 THEN 'not_one_letter'
+SELECT f AS answer_format, reason, count(*) AS n FROM (SELECT f, CASE WHEN len(list_filter(o, lambda x: x NOT IN ('A', 'B', 'C', 'D', 'E'))) > 0 THEN 'unknown_option' WHEN f IN ('mcq', 'tf') AND length(answer) <> 1 THEN 'not_one_letter'
  WHEN f = 'multi' AND len(list_distinct(o)) <> len(o) THEN 'repeated_letter' WHEN f = 'multi' AND array_to_string(list_sort(o), '') <> answer THEN 'not_sorted' ELSE 'ok' END AS reason FROM own) GROUP BY f, reason""")
 def answer_format_errors(spark, sf_dir):
     """Letters of an order's lines in the order of their parts, validated as answers over options A to E."""
@@ -126,10 +126,10 @@ def overfit_gap(spark, sf_dir):
     return rows.groupBy("lang").agg(F.round(100 * (F.avg(F.when(F.col("part") == "train", right)) - F.avg(F.when(F.col("part") == "holdout", right))), 4).alias("gap"))
 
 
-@query("""SELECT l_orderkey AS qid, CAST(round(100 * (count(*) FILTER (l_returnflag = 'A')::DOUBLE / count(*)) * (0.7 + 0.3 * CASE WHEN sum(l_extendedprice) <= 0 THEN 0.0 ELSE least(1.0, greatest(0.0, (5000000 - sum(l_extendedprice)) / 5000000)) END), 6) AS DOUBLE) AS score FROM lineitem GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey AS qid, CAST(round(100 * (count(*) FILTER (l_returnflag = 'A')::DOUBLE / count(*)) * (0.7 + 0.3 * CASE WHEN sum(l_extendedprice) <= 0 THEN 0.0 ELSE least(1.0, greatest(0.0, (5000000 - sum(l_extendedprice)) / 5000000)) END), 3) AS DOUBLE) AS score FROM lineitem GROUP BY l_orderkey""")
 def score_formula(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("qid")).agg(F.avg((F.col("l_returnflag") == "A").cast("double")).alias("a"), F.sum("l_extendedprice").alias("t"))
-    return rows.select("qid", F.round(evaluation.competition_score(F.col("a"), F.col("t")), 6).alias("score"))
+    return rows.select("qid", F.round(evaluation.competition_score(F.col("a"), F.col("t")), 3).alias("score"))
 
 
 @query("""WITH t AS (SELECT unnest([0.0, 0.02, 0.04, 0.06, 0.08]) AS threshold)

@@ -91,8 +91,8 @@ def _attempts(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), micros.alias("s"), (micros + k * 60_000_000).alias("e"), "event_type", k.alias("tokens"))
 
 
-@query(f"""WITH {ATTEMPTS}, c AS (SELECT *, coalesce(s < max(e) OVER (PARTITION BY user_id, day ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS overlaps FROM attempts)
-SELECT user_id, CAST(day AS VARCHAR) AS day, count(*) AS n_attempts, count(*) FILTER (overlaps) AS n_overlaps, count(*) FILTER (event_type = 'error') AS n_failed FROM c GROUP BY user_id, day""")
+@query(f"""WITH {ATTEMPTS}, c AS (SELECT *, coalesce(s < max(e) OVER (PARTITION BY user_id, day ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hit FROM attempts)
+SELECT user_id, CAST(day AS VARCHAR) AS day, count(*) AS n_attempts, count(*) FILTER (hit) AS n_overlaps, count(*) FILTER (event_type = 'error') AS n_failed FROM c GROUP BY user_id, day""")
 def attempt_chain(spark, sf_dir):
     rows = checks.attempt_chain(_attempts(spark, sf_dir), ["user_id", "day"], "s", "e")
     return rows.groupBy("user_id", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n_attempts"), F.count_if("overlaps").alias("n_overlaps"), F.count_if(F.col("event_type") == "error").alias("n_failed"))

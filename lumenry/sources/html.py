@@ -87,12 +87,11 @@ def pack(blocks: list[dict], width: int = WIDTH) -> list[dict]:
     return out
 
 
-@F.pandas_udf(SCHEMA)
-def blocks_of(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda x: pack(parse(x)))
-
-
 def packed_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, k, section, text, char_count): a row for each packed block of every page."""
+    @F.pandas_udf(SCHEMA)
+    def blocks_of(html: pd.Series) -> pd.Series:
+        return html.map(lambda x: pack(parse(x)))
+
     rows = pages.select("page_id", F.posexplode(blocks_of("html")).alias("k", "b"))
     return rows.select("page_id", "k", "b.section", "b.text", F.length("b.text").alias("char_count"))
