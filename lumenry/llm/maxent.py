@@ -37,8 +37,8 @@ RARE = CLASSES
 KNOWN = 50_000
 BITS = 14
 SLICES = 2
-RATE = 0.15
-STEP_TOKENS = 16_384
+RATE = 0.3
+STEP_TOKENS = 32_768
 #: Bytes of text handled at once, and documents a packed batch has at most.
 BLOCK_BYTES = 1 << 20
 BATCH_DOCS = 4096
@@ -117,7 +117,9 @@ def _before(h: np.ndarray, ptr: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Weights:
-    """classes: hashed features x (classes and the rare one); words: hashed (class, feature) x words of a class."""
+    """classes: (classes and the rare one) x hashed features; words: words of a class x hashed (class, feature).
+
+    A row is one output's weights over all features, so that gathers and sums by feature stay in the cache."""
 
     classes: np.ndarray
     class_bias: np.ndarray
@@ -129,7 +131,7 @@ class Weights:
 
     @staticmethod
     def of(flat: np.ndarray) -> Weights:
-        shapes = ((1 << BITS, CLASSES + 1), (1, CLASSES + 1), (1 << BITS, CLASS_SIZE), (CLASSES, CLASS_SIZE))
+        shapes = ((CLASSES + 1, 1 << BITS), (CLASSES + 1, 1), (CLASS_SIZE, 1 << BITS), (CLASS_SIZE, CLASSES))
         out, at = [], 0
         for s in shapes:
             out.append(np.array(flat[at : at + s[0] * s[1]], np.float32).reshape(s))
@@ -178,9 +180,20 @@ def _inner_features(p1: np.ndarray, p2: np.ndarray, c: np.ndarray) -> list[np.nd
     return [_buckets(_mix(p1 ^ own)), _buckets(_mix((p2 * _SEEDS[1]) ^ own))]
 
 
+def _logits(weights: np.ndarray, bias: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    """(outputs, tokens): the bias and the sum of the features' weights."""
+    out = np.empty((len(weights), len(features[0])), np.float32)
+    for k, row in enumerate(weights):
+        out[k] = bias[k]
+        for f in features:
+            out[k] += row[f]
+    return out
+
+
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    """Over the first axis, in place."""
+    z -= z.max(axis=0)
+    z -= np.log(np.exp(z).sum(axis=0))
     return z
 
 
@@ -191,25 +204,23 @@ def log_probabilities(w: Weights, rank: np.ndarray, p: tuple[np.ndarray, np.ndar
         r = rank[at : at + STEP_TOKENS]
         x = [q[at : at + STEP_TOKENS] for q in p]
         c = np.minimum(r // CLASS_SIZE, RARE)
-        z = w.class_bias + sum(w.classes[f] for f in _features(*x))
-        got = _log_softmax(z)[np.arange(len(r)), c].astype(np.float64)
+        got = _log_softmax(_logits(w.classes, w.class_bias, _features(*x)))[c, np.arange(len(r))].astype(np.float64)
         i = np.flatnonzero(c < RARE)
         if len(i):
-            y = w.word_bias[c[i]] + sum(w.words[f] for f in _inner_features(x[0][i], x[1][i], c[i]))
-            got[i] += _log_softmax(y)[np.arange(len(i)), r[i] % CLASS_SIZE]
+            y = _logits(w.words, w.word_bias[:, c[i]], _inner_features(x[0][i], x[1][i], c[i]))
+            got[i] += _log_softmax(y)[r[i] % CLASS_SIZE, np.arange(len(i))]
         out[at : at + STEP_TOKENS] = got
     return out
 
 
-def _descend(table_: np.ndarray, square: np.ndarray, features: list[np.ndarray], g: np.ndarray) -> None:
-    """An adaptive step on the rows that the features name; gradients of a row add up."""
-    n = g.shape[1]
-    for f in features:
-        order = np.argsort(f, kind="stable")
-        rows, first = np.unique(f[order], return_index=True)
-        step = np.add.reduceat(g[order], first, axis=0) if len(f) else np.zeros((0, n), np.float32)
-        square[rows] += step * step
-        table_[rows] -= RATE * step / np.sqrt(square[rows] + 1e-3)
+def _descend(weights: np.ndarray, square: np.ndarray, features: list[np.ndarray], g: np.ndarray) -> None:
+    """An adaptive step: gradients (outputs, tokens) add up by feature."""
+    size = weights.shape[1]
+    for k, row in enumerate(g):
+        wide = row.astype(np.float64)
+        step = sum(np.bincount(f, wide, size) for f in features).astype(np.float32)
+        square[k] += step * step
+        weights[k] -= RATE * step / np.sqrt(square[k] + 1e-3)
 
 
 def train(w: Weights, vocabulary: Vocabulary, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> int:
@@ -225,15 +236,15 @@ def train(w: Weights, vocabulary: Vocabulary, blocks: Iterator[tuple[np.ndarray,
             x = [q[at : at + STEP_TOKENS] for q in before]
             c = np.minimum(r // CLASS_SIZE, RARE)
             f = _features(*x)
-            g = np.exp(_log_softmax(w.class_bias + sum(w.classes[k] for k in f)))
-            g[np.arange(len(r)), c] -= 1
+            g = np.exp(_log_softmax(_logits(w.classes, w.class_bias, f)))
+            g[c, np.arange(len(r))] -= 1
             _descend(w.classes, s1, f, g)
             _descend(w.class_bias, s2, [np.zeros(len(r), np.int64)], g)
             i = np.flatnonzero(c < RARE)
             if len(i):
                 f = _inner_features(x[0][i], x[1][i], c[i])
-                g = np.exp(_log_softmax(w.word_bias[c[i]] + sum(w.words[k] for k in f)))
-                g[np.arange(len(i)), r[i] % CLASS_SIZE] -= 1
+                g = np.exp(_log_softmax(_logits(w.words, w.word_bias[:, c[i]], f)))
+                g[r[i] % CLASS_SIZE, np.arange(len(i))] -= 1
                 _descend(w.words, s3, f, g)
                 _descend(w.word_bias, s4, [c[i]], g)
     return seen
@@ -245,9 +256,9 @@ def _start_weights(v: Vocabulary) -> Weights:
     own = np.zeros(CLASSES * CLASS_SIZE)
     own[: min(len(v.counts), len(own))] = v.counts[: len(own)]
     own = own.reshape(CLASSES, CLASS_SIZE)
-    w.word_bias[:] = np.log(own + 1e-3)
-    w.class_bias[0, :CLASSES] = np.log(own.sum(axis=1) + 1e-3)
-    w.class_bias[0, RARE] = np.log(max(v.rare_total, 0) + 1)
+    w.word_bias[:] = np.log(own.T + 1e-3)
+    w.class_bias[:CLASSES, 0] = np.log(own.sum(axis=1) + 1e-3)
+    w.class_bias[RARE, 0] = np.log(max(v.rare_total, 0) + 1)
     return w
 
 
