@@ -6,8 +6,8 @@ similarity of their normal forms; links of ``SIMILARITY`` or more connect nodes
 occurrences the first, by (doc_id, hash of the text, line number), stays.
 
 Candidates: signatures within d bits agree on at least m of m+d blocks, so every choice of m blocks is a
-key and every such pair shares a key. A bucket's nodes are first compared with the bucket's smallest node; only
-nodes of a bucket that are not yet in one component are then compared with each other. The components are those of
+key and every such pair shares a key. A node is first compared with one near smallest node of its buckets; then all
+near nodes of a bucket that are not yet in one component are compared with each other. The components are those of
 all links, without emitting all pairs of a group.
 
 Defined results: null texts pass unchanged and have no lines; blank lines (no letter or digit) are never dropped; a row repeated with
@@ -109,24 +109,37 @@ def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos, norm): every line that is not blank, h the hash of the whole text."""
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .where(F.col("line").rlike(r"[\p{L}\p{N}]"))  # where the normal form isn't empty, at the first letter
         .select("doc_id", "h", "pos", normal_form(F.col("line")).alias("norm"))
-        .where("norm <> ''")
     )
 
 
+def _hashes_of(norm: Column) -> list[Column]:
+    return [F.xxhash64(norm).alias("k1"), F.xxhash64(norm, F.lit(1)).alias("k2")]
+
+
+def _node(k1: Column, k2: Column) -> Column:
+    """A line's node: the 128 bits of two hashes of its normal form."""
+    return F.unhex(F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0")))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, node, size, sig) of every line: node its normal form's md5, sig the 64-bit SimHash over its words.
+    """(doc_id, h, pos, node, size, sig) of every line: node stands for its normal form, sig is the 64-bit SimHash of its words.
 
-    Words are exploded and added up by line in generated code; a line's words are in one task, so the exchange has a row a line.
+    Words are exploded and added up by line in generated code, keyed by one number a line. A line's words are in one task, so
+    the exchange has a row a line.
     """
-    key = ["doc_id", "h", "pos", "node", "size"]
-    own = lines(docs).select("doc_id", "h", "pos", F.unhex(F.md5("norm")).alias("node"), F.length("norm").alias("size"), "norm")
-    word = own.where(F.col("size") < LONG_LINE).select(*key, F.explode(F.split("norm", " ")).alias("w"))
-    sums = word.select(*key, F.xxhash64("w").alias("x")).groupBy(*key).agg(F.count("*").alias("words"), *_lane_sums(F.col("x")))
-    short = sums.select(*key, _majority(F.col("words")).alias("sig"))
-    rare = lines(docs.where(F.length("text") >= LONG_LINE)).select("doc_id", "h", "pos", F.unhex(F.md5("norm")).alias("node"), F.length("norm").alias("size"), "norm")
+    own = lines(docs).select("doc_id", "h", "pos", *_hashes_of(F.col("norm")), F.length("norm").alias("size"), "norm")
+    carried = ("doc_id", "h", "pos", "k1", "k2", "size")
+    numbered = own.where(F.col("size") < LONG_LINE).withColumn("line", F.monotonically_increasing_id())  # before words are exploded
+    word = numbered.select("line", *carried, F.explode(F.split("norm", " ")).alias("w"))
+    sums = word.select("line", *carried, F.xxhash64("w").alias("x")).groupBy("line")
+    sums = sums.agg(*(F.max(c).alias(c) for c in carried), F.count("*").alias("words"), *_lane_sums(F.col("x")))
+    node = _node(F.col("k1"), F.col("k2")).alias("node")
+    short = sums.select("doc_id", "h", "pos", node, "size", _majority(F.col("words")).alias("sig"))
+    rare = lines(docs.where(F.length("text") >= LONG_LINE)).select("doc_id", "h", "pos", *_hashes_of(F.col("norm")), F.length("norm").alias("size"), "norm")
     hashed = rare.where(F.col("size") >= LONG_LINE).withColumn("x", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
-    return short.unionByName(hashed.select(*key, _counted(F.col("x")).alias("sig"))).distinct()
+    return short.unionByName(hashed.select("doc_id", "h", "pos", node, "size", _counted(F.col("x")).alias("sig")))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -149,21 +162,24 @@ def _similar(a: str, b: str, similarity: float) -> Column:
     return F.expr(f"levenshtein({a}, {b}, least({limit}, 16)) >= 0 or ({limit} > 16 and levenshtein({a}, {b}, {limit}) >= 0)")
 
 
-def _verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame, distance: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) of candidate pairs of ids (a, b) that are near by signature and by edit similarity, and the
-    rows (id, node, first, n) of the lines that were looked at."""
+def _near(pairs: DataFrame, unique: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """The candidate pairs of ids (a, b) whose signatures are near and whose lengths allow the similarity."""
     side = lambda s: unique.select(F.col("id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("size").alias(f"size_{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= distance)
     # a difference in length is a lower bound of the edit distance
-    longer = F.greatest("size_a", "size_b")
-    near = table(near.where(F.abs(F.col("size_a") - F.col("size_b")) <= (1 - similarity) * longer + 1e-9).select("a", "b"))
+    return near.where(F.abs(F.col("size_a") - F.col("size_b")) <= (1 - similarity) * F.greatest("size_a", "size_b") + 1e-9).select("a", "b")
+
+
+def _verified(near: DataFrame, unique: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) of pairs of ids (a, b) that are near by edit similarity, and the rows (id, node, first, n) looked at."""
+    near = table(near)
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     seen = table(unique.select("id", "node", "first", "n").join(wanted, "id", "left_semi"))
     texts = table(_texts(docs, seen).distinct())
     left, right = (texts.select(F.col("id").alias(s), F.col("norm").alias(f"norm_{s}")) for s in "ab")
     edges = near.join(left, "a").join(right, "b").where(_similar("norm_a", "norm_b", similarity))
     # ids are hashes of nodes: the edge is between the nodes of the texts compared
-    edges = edges.select(F.unhex(F.md5("norm_a")).alias("u"), F.unhex(F.md5("norm_b")).alias("v"))
+    edges = edges.select(*(_node(*_hashes_of(F.col(f"norm_{s}"))).alias(c) for s, c in (("a", "u"), ("b", "v"))))
     return table(edges.distinct()), seen
 
 
@@ -180,17 +196,19 @@ def groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILA
     bucket = Window.partitionBy("key")
     rows = unique.select("id", F.explode(keys).alias("key"))
     shared = table(rows.select("key", "id", F.min("id").over(bucket).alias("lead"), F.max("id").over(bucket).alias("last")).where("lead <> last").drop("last"))
-    links, seen = _verified(shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), unique, docs, distance, similarity)
+    # first pass: every line with one of its buckets' leads that is near by signature
+    leads = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    leads = _near(leads, unique, distance, similarity).groupBy("b").agg(F.min("a").alias("a"))
+    links, seen = _verified(leads, unique, docs, similarity)
     linked = table(components(links))
     # second pass: what one bucket holds of different components, or of none yet
     known = linked.join(seen.select("node", "id"), "node").select("id", F.xxhash64("component").alias("c"))
-    marked = shared.join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    mixed = marked.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).where("c0 <> c1 and k > 2").select("key")
+    marked = shared.select("key", "id").join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    mixed = marked.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
     left = table(marked.join(mixed, "key"))
     right = left.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-    # pairs with the bucket's first node have been compared
-    pairs = left.select("key", F.col("id").alias("a"), "c", "lead").join(right, "key").where("a < b and c <> d and a <> lead").select("a", "b").distinct()
-    more, also = _verified(pairs, unique, docs, distance, similarity)
+    pairs = left.select("key", F.col("id").alias("a"), "c").join(right, "key").where("a < b and c <> d").select("a", "b").distinct()
+    more, also = _verified(_near(pairs, unique, distance, similarity), unique, docs, similarity)
     if more.head(1):
         linked, seen = components(links.unionByName(more)), seen.unionByName(also).distinct()
     again = unique.where("n > 1").select("node", F.col("first").alias("f1"), F.col("n").alias("n1"))

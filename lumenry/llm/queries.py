@@ -67,4 +67,37 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLE: dict[str, str] = {
+    "op3_ngram_jaccard_join": f"""
+WITH RECURSIVE t AS (SELECT doc_id, w, array_to_string(w, ' ') AS k FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+u AS (SELECT k, any_value(w) AS w, min(doc_id) AS text_id, count(*) AS n_copies FROM t GROUP BY k),
+sh AS (SELECT DISTINCT text_id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s FROM (
+  SELECT text_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT text_id, w, least(5, len(w)) AS n FROM u WHERE k <> ''))),
+size AS (SELECT text_id, count(*) AS n FROM sh GROUP BY text_id),
+shared AS (SELECT a.text_id AS a, b.text_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.text_id < b.text_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN size x ON x.text_id = a JOIN size y ON y.text_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+edges AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+class AS (SELECT x AS text_id, min(least(x, y)) AS class_id FROM reach GROUP BY x),
+degree AS (SELECT x AS text_id, count(*) AS n_links FROM edges GROUP BY x)
+SELECT doc_id, CASE WHEN k = '' THEN doc_id ELSE text_id END AS text_id, CASE WHEN k = '' THEN doc_id ELSE coalesce(class_id, text_id) END AS class_id,
+  n_copies, coalesce(n_links, 0) AS n_links
+FROM t JOIN u USING (k) LEFT JOIN class USING (text_id) LEFT JOIN degree USING (text_id)""",
+    "op9_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+dw AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, win)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""
+}
