@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, map_rows, words
+from .common import WORD_TABLE, map_rows, table, words
 
 N = 10
 #: Benchmarks of more characters than this are joined by shuffle instead of being broadcast.
 BROADCAST_CHARS = 32_000_000
+#: Rows with hits that may be broadcast for their removal; beyond, Spark shuffles.
+BROADCAST_ROWS = 300_000
 
 SCAN = "doc_id long, n_words long, hits array<struct<start:int,length:int>>, items array<string>"
 
@@ -161,7 +163,8 @@ def report(scanned: DataFrame) -> DataFrame:
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """Documents without any hit, with all their columns; rows of a null id are judged by their own text."""
     hit = scan(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, n).where(F.size("hits") > 0)
-    keys = hit.select(F.col("doc_id").alias("_hit_row"))
+    keys = table(hit.select(F.col("doc_id").alias("_hit_row")))
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(keys, F.col("_row") == F.col("_hit_row"), "left_anti").drop("_row")
 
 

@@ -33,6 +33,8 @@ HASHES = BANDS * ROWS
 STEP, TOLERANCE = 25, 1e-4
 #: Texts of one side of a block.
 BLOCK = 256
+#: Documents that go, by id and words, that may be broadcast; beyond, Spark shuffles.
+BROADCAST_ROWS = 300_000
 #: Words hashed in one step; bounds the memory a very long text takes.
 WORDS_STEP = 50_000
 
@@ -267,14 +269,22 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 def representatives(docs: DataFrame, **parameters) -> DataFrame:
     """One document of each class stays, the one of the smallest id; documents without words all stay."""
-    found = join(docs, **parameters).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    found = table(join(docs, **parameters).select("doc_id", "node", "class_id"))
+    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
 
     @F.pandas_udf("binary")
     def node(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: node_of(words(t)))
 
-    kept = docs.withColumn("_own", node("text")).join(found, (F.col("_own") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_own", "_id"]).drop("_own", "_id", "_node")
+    own = docs.withColumn("_own", node("text"))
+    on = (F.col("_own") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = own.join(F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost, on, "left_anti")
+    empty = F.unhex(F.lit(node_of([]).hex()))
+    if found.where(F.col("node") != empty).groupBy("doc_id", "node").count().where("count > 1").head(1):
+        # rows of the same id and words: one stays
+        salted = kept.withColumn("_salt", F.when(F.col("_own") == empty, F.monotonically_increasing_id()).otherwise(-1))
+        kept = salted.dropDuplicates(["_own", "doc_id", "_salt"]).drop("_salt")
+    return kept.drop("_own")
 
 
 def report(joined: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ SIMILARITY = 0.8
 #: Document ids (or rows of dropped lines) that may be broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 300_000
 BROADCAST_POSITIONS = 3_000_000
+#: Line ids (8 bytes each) that may be broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def normal_form(line: Column) -> Column:
@@ -156,28 +158,43 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("id", normal_form(F.col("line")).alias("norm"))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz "
+
+
+def _letter_counts(norm: Column) -> Column:
+    return F.array(*(F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))) for c in _LETTERS))
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """False where letters that one text has more of than the other already ask for too many edits."""
+    more = F.zip_with("letters_a", "letters_b", lambda x, y: x - y)
+    surplus = F.aggregate(more, F.lit(0), lambda a, d: a + F.greatest(d, F.lit(0)))
+    lack = F.aggregate(more, F.lit(0), lambda a, d: a + F.greatest(-d, F.lit(0)))
+    return F.greatest(surplus, lack) <= F.greatest(F.length("norm_a"), F.length("norm_b")) * (1 - similarity) + 1e-9
+
+
 def _similar(a: str, b: str, similarity: float) -> Column:
     """Edit similarity of two columns at the threshold or above. Near pairs are told by a narrow band, others by the full one."""
     limit = f"cast(floor(greatest(length({a}), length({b})) * {1 - similarity} + 1e-9) as int)"
     return F.expr(f"levenshtein({a}, {b}, least({limit}, 16)) >= 0 or ({limit} > 16 and levenshtein({a}, {b}, {limit}) >= 0)")
 
 
-def _near(pairs: DataFrame, unique: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """The candidate pairs of ids (a, b) whose signatures are near and whose lengths allow the similarity."""
-    side = lambda s: unique.select(F.col("id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("size").alias(f"size_{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= distance)
+def _near(distance: int, similarity: float) -> Column:
+    """Of columns sig_a, sig_b, size_a, size_b: signatures are near and lengths allow the similarity."""
+    bits = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= distance
     # a difference in length is a lower bound of the edit distance
-    return near.where(F.abs(F.col("size_a") - F.col("size_b")) <= (1 - similarity) * F.greatest("size_a", "size_b") + 1e-9).select("a", "b")
+    return bits & (F.abs(F.col("size_a") - F.col("size_b")) <= (1 - similarity) * F.greatest("size_a", "size_b") + 1e-9)
 
 
 def _verified(near: DataFrame, unique: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v) of pairs of ids (a, b) that are near by edit similarity, and the rows (id, node, first, n) looked at."""
     near = table(near)
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    seen = table(unique.select("id", "node", "first", "n").join(wanted, "id", "left_semi"))
-    texts = table(_texts(docs, seen).distinct())
-    left, right = (texts.select(F.col("id").alias(s), F.col("norm").alias(f"norm_{s}")) for s in "ab")
-    edges = near.join(left, "a").join(right, "b").where(_similar("norm_a", "norm_b", similarity))
+    wanted = table(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    seen = table(unique.select("id", "node", "first", "n").join(F.broadcast(wanted) if few else wanted, "id", "left_semi"))
+    texts = table(_texts(docs, seen).distinct().withColumn("letters", _letter_counts(F.col("norm"))))
+    left, right = (texts.select(F.col("id").alias(s), F.col("norm").alias(f"norm_{s}"), F.col("letters").alias(f"letters_{s}")) for s in "ab")
+    edges = near.join(left, "a").join(right, "b").where(_may_be_similar(similarity)).where(_similar("norm_a", "norm_b", similarity))
     # ids are hashes of nodes: the edge is between the nodes of the texts compared
     edges = edges.select(*(_node(*_hashes_of(F.col(f"norm_{s}"))).alias(c) for s, c in (("a", "u"), ("b", "v"))))
     return table(edges.distinct()), seen
@@ -195,20 +212,23 @@ def groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILA
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("sig").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)))
     bucket = Window.partitionBy("key")
     rows = unique.select("id", F.explode(keys).alias("key"))
-    shared = table(rows.select("key", "id", F.min("id").over(bucket).alias("lead"), F.max("id").over(bucket).alias("last")).where("lead <> last").drop("last"))
+    shared = rows.select("key", "id", F.min("id").over(bucket).alias("lead"), F.max("id").over(bucket).alias("last")).where("lead <> last").drop("last")
+    shared = table(table(shared).join(unique.select("id", "sig", "size"), "id"))
     # first pass: every line with one of its buckets' leads that is near by signature
-    leads = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    leads = _near(leads, unique, distance, similarity).groupBy("b").agg(F.min("a").alias("a"))
+    lead = F.min(F.struct("id", "sig", "size")).over(bucket)
+    leads = shared.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"), lead.alias("x"))
+    leads = leads.select("b", "sig_b", "size_b", F.col("x.id").alias("a"), F.col("x.sig").alias("sig_a"), F.col("x.size").alias("size_a"))
+    leads = leads.where("a <> b").where(_near(distance, similarity)).groupBy("b").agg(F.min("a").alias("a"))
     links, seen = _verified(leads, unique, docs, similarity)
     linked = table(components(links))
-    # second pass: what one bucket holds of different components, or of none yet
+    # second pass: what one bucket holds of different components, or of none yet; only near pairs leave the join
     known = linked.join(seen.select("node", "id"), "node").select("id", F.xxhash64("component").alias("c"))
-    marked = shared.select("key", "id").join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    mixed = marked.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    left = table(marked.join(mixed, "key"))
-    right = left.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-    pairs = left.select("key", F.col("id").alias("a"), "c").join(right, "key").where("a < b and c <> d").select("a", "b").distinct()
-    more, also = _verified(_near(pairs, unique, distance, similarity), unique, docs, similarity)
+    marked = shared.join(known, "id", "left").select("key", "id", "sig", "size", F.coalesce("c", "id").alias("c"))
+    mixed = marked.select("*", F.min("c").over(bucket).alias("c0"), F.max("c").over(bucket).alias("c1")).where("c0 <> c1")
+    left = table(mixed.select("key", F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a"), F.col("c").alias("c_a")))
+    right = left.select("key", *(F.col(f"{c}a").alias(f"{c}b") for c in ("", "sig_", "size_", "c_")))
+    pairs = left.join(right, "key").where("a < b and c_a <> c_b").where(_near(distance, similarity)).select("a", "b").distinct()
+    more, also = _verified(pairs, unique, docs, similarity)
     if more.head(1):
         linked, seen = components(links.unionByName(more)), seen.unionByName(also).distinct()
     again = unique.where("n > 1").select("node", F.col("first").alias("f1"), F.col("n").alias("n1"))
