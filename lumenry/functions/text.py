@@ -72,7 +72,7 @@ def terms(text: Column) -> Column:
     """Distinct terms of a text in the order of first occurrence: numbers, Latin words, CJK phrases and grams."""
     n = normalize(text)
     every = F.concat(numeric_terms(n), ascii_terms(n), cjk_terms(n))
-    return F.array_distinct(F.filter(F.transform(every, F.trim), lambda t: F.length(t) >= 2))
+    return F.array_distinct(F.filter(F.transform(every, lambda t: F.trim(t)), lambda t: F.length(t) >= 2))
 
 
 def latin_terms(text: Column) -> Column:

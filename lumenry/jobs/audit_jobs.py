@@ -52,11 +52,11 @@ def rerun_selection(spark, sf_dir):
     return rows.where(F.col("j") < lineage.RERUN_BELOW).select("l_orderkey", F.round("j", 6).alias("jaccard"))
 
 
-@query("""WITH c AS (SELECT l_orderkey, max(CASE WHEN l_linenumber = 7 THEN 'dry' ELSE 'qwen' END) AS mode, max(l_linestatus) AS version, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) - 40 AS tokens, count(*) FILTER (l_returnflag <> 'N') AS n_judgments, count(*) FILTER (l_discount > 0.095) AS n_errors FROM lineitem GROUP BY l_orderkey)
-SELECT reason, count(*) AS n FROM (SELECT CASE WHEN mode <> 'qwen' THEN 'mode' WHEN version <> 'O' THEN 'version' WHEN tokens <= 0 THEN 'tokens' WHEN n_judgments = 0 THEN 'judgments_missing' WHEN n_errors > 0 THEN 'judgments_bad' ELSE 'ok' END AS reason FROM c) GROUP BY reason""")
+@query("""WITH c AS (SELECT l_orderkey, max(CASE WHEN l_linenumber = 7 THEN 'dry' ELSE 'live' END) AS mode, max(l_linestatus) AS version, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) - 40 AS tokens, count(*) FILTER (l_returnflag <> 'N') AS n_judgments, count(*) FILTER (l_discount > 0.095) AS n_errors FROM lineitem GROUP BY l_orderkey)
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN mode <> 'live' THEN 'mode' WHEN version <> 'O' THEN 'version' WHEN tokens <= 0 THEN 'tokens' WHEN n_judgments = 0 THEN 'judgments_missing' WHEN n_errors > 0 THEN 'judgments_bad' ELSE 'ok' END AS reason FROM c) GROUP BY reason""")
 def reuse_reasons(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.max(F.when(F.col("l_linenumber") == 7, "dry").otherwise("qwen")).alias("mode"), F.max("l_linestatus").alias("version"), (F.sum(F.col("l_quantity").cast("bigint")) - 40).alias("tokens"),
+        F.max(F.when(F.col("l_linenumber") == 7, "dry").otherwise("live")).alias("mode"), F.max("l_linestatus").alias("version"), (F.sum(F.col("l_quantity").cast("bigint")) - 40).alias("tokens"),
         F.count_if(F.col("l_returnflag") != "N").alias("n_judgments"), F.count_if(F.col("l_discount") > 0.095).alias("n_errors"),
     )
     reason = lineage.reuse_reason(F.col("mode"), F.col("version"), "O", F.col("tokens"), F.col("n_judgments"), F.col("n_errors"), F.lit(None).cast("string"))

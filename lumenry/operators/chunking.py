@@ -68,4 +68,4 @@ def repair_character_lines(text: Column) -> Column:
     """Where over 60 % of the lines that aren't empty have up to 3 characters, joins all lines."""
     rows = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     short = F.size(F.filter(rows, lambda x: F.length(F.trim(x)) <= 3))
-    return F.when((F.size(rows) > 0) & (short > 0.6 * F.size(rows)), F.array_join(F.transform(rows, F.trim), "")).otherwise(text)
+    return F.when((F.size(rows) > 0) & (short > 0.6 * F.size(rows)), F.array_join(F.transform(rows, lambda x: F.trim(x)), "")).otherwise(text)

@@ -31,7 +31,7 @@ def preconditions(official: DataFrame, parent: DataFrame, rerun: DataFrame, key:
 def reuse_reason(mode: Column, version: Column, current: str, tokens: Column, n_judgments: Column, n_errors: Column, broken: Column) -> Column:
     """``ok``, or the first rule that forbids reuse of a cached result."""
     return (
-        F.when(~mode.eqNullSafe(F.lit("qwen")), "mode")
+        F.when(~mode.eqNullSafe(F.lit("live")), "mode")
         .when(F.coalesce(version, F.lit("v0")) != current, "version")
         .when(F.coalesce(tokens, F.lit(0)) <= 0, "tokens")
         .when(n_judgments == 0, "judgments_missing")
