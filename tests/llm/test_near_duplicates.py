@@ -266,6 +266,31 @@ def test_audio_search_equals_brute_force(spark, near, block):
     assert len(want) > 20 and found == want
 
 
+def test_fingerprints_do_not_depend_on_the_step_they_share():
+    texts = [" ".join(sentence(n)) for n in (3000, 40, 700, 200)]
+    together = fingerprints.fingerprints(texts)
+    for k, alone in enumerate(fingerprints.fingerprints([t])[0] for t in texts):
+        assert (alone == together[k]).all(), k
+
+
+def test_audio_search_finds_excerpts_and_noisy_copies(spark):
+    """All pairs by ``matches`` alone are wanted, without a condition on sketches."""
+    rng = random.Random(8)
+    long = [[rng.choice(VOCABULARY) for _ in range(4000)] for _ in range(4)]
+    texts = list(long)
+    for k in range(40):
+        whole, n = long[k % 4], (40, 80, 200, 400)[k // 4 % 4]
+        at = rng.randrange(len(whole) - n)
+        cut = whole[at : at + n]
+        texts.append([rng.choice(VOCABULARY) if k >= 20 and rng.random() < 0.05 else w for w in cut])
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    fps = fingerprints.fingerprints([" ".join(w) for w in texts])
+    want = {(q, t) for q in range(len(texts)) for t in range(len(texts)) if q != t and fingerprints.matches(fps[q], fps[t])}
+    got = {(r["class_id"], r["match_class"]) for r in fingerprints.search(df, every=1).where("match_class is not null").collect()}
+    assert len(want) >= 80 and got <= want
+    assert len(got) >= 0.9 * len(want), (len(got), len(want))
+
+
 def test_audio_search_of_odd_rows(odd, empty):
     assert fingerprints.search(empty).count() == 0
     assert fingerprints.search(odd).where("match_class is null").count() == odd.count()
