@@ -1,7 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of normalised n-grams scanned over document windows.
 
 Defined results: null or empty text has no words and no hits; a benchmark item without words has no
-windows; repeated documents are scanned each for itself; repeated item ids share their windows; an
+windows; repeated documents are scanned each for itself; repeated item ids share their windows; items of a null id
+hit like others and are together one item without a name, counted in n_items and left out of items_sha256; an
 empty benchmark leaves every document clean. Further columns of either table are ignored by ``scan``
 and kept by ``remove_documents`` and ``remove_spans``.
 """
@@ -37,8 +38,8 @@ def item_windows(text: str | None, n: int = N) -> list[bytes]:
 class WindowSet:
     """Windows by their number of words, with the items each belongs to."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int = N):
-        self.by_length: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int = N):
+        self.by_length: dict[int, dict[bytes, set[str | None]]] = defaultdict(lambda: defaultdict(set))
         self.vocabulary: set[bytes] = set()
         for item_id, text in items:
             for window in item_windows(text, n):
@@ -48,7 +49,7 @@ class WindowSet:
         self.by_length = {k: dict(v) for k, v in self.by_length.items()}
         self.shortest = min(self.by_length, default=0)
 
-    def find(self, w: list[bytes]) -> tuple[list[dict], set[str]]:
+    def find(self, w: list[bytes]) -> tuple[list[dict], set[str | None]]:
         """Places (start, length in words) of all windows, and the items they belong to."""
         hits, items = [], set()
         if self.shortest and len(w) >= self.shortest:
@@ -68,7 +69,7 @@ class WindowSet:
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Per document: words, window hits and the items hit. The benchmark's size decides how it is joined."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     if (items.agg(F.sum(F.length("text") + 20)).first()[0] or 0) <= broadcast_chars:
         return _scan_broadcast(docs, items, n)
     return _scan_join(docs, items, n)
@@ -86,7 +87,7 @@ def _scan_broadcast(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
                 hits, found = windows.find(w)
                 out["n_words"].append(len(w))
                 out["hits"].append(hits)
-                out["items"].append(sorted(found))
+                out["items"].append(sorted(found, key=lambda x: (x is None, x)))
             yield out
 
     return map_rows(docs, run, SCAN)
@@ -125,7 +126,8 @@ def _scan_join(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
         .groupBy("row")
         .agg(
             F.array_sort(F.collect_set(F.struct("start", "length"))).alias("hits"),
-            F.array_sort(F.collect_set("item_id")).alias("items"),
+            # collect_set leaves nulls out
+            F.concat(F.array_sort(F.collect_set("item_id")), F.when(F.max(F.col("item_id").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))).alias("items"),
         )
     )
     kinds = {f.name: f.dataType for f in T._parse_datatype_string(SCAN)}
@@ -186,7 +188,7 @@ def cut(text: str, hits: list[tuple[int, int]]) -> str:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """Every document with its hit spans cut out of the text (benchmark small enough to broadcast)."""
-    items = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string"), "text")
     if (items.agg(F.sum(F.length("text") + 20)).first()[0] or 0) > BROADCAST_CHARS:
         raise ValueError("remove_spans needs a benchmark of bounded size; use remove_documents")
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])

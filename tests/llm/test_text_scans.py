@@ -45,6 +45,25 @@ def test_decontamination_equals_brute_force(spark, documents, odd, limit):
         assert Counter(map(tuple, got)) == Counter((r[0], *brute_hits(r[1], BENCH)) for r in rows)
 
 
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_decontamination_by_items_without_an_id_as_in_sql(spark, odd, limit, tmp_path):
+    import duckdb
+    from lumenry.llm import queries
+
+    bench = spark.createDataFrame([(None, BENCH[0][1]), (None, "naïve"), (11, "naïve"), (None, "another text of the same id")], "item_id long, text string")
+    docs = odd.where("doc_id <> 5").select("doc_id", "text").dropDuplicates(["doc_id"])
+    got = decontaminate.report(decontaminate.scan(docs, bench, broadcast_chars=limit)).collect()
+    db = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        db.execute(f"CREATE TABLE {name} AS SELECT * FROM read_parquet('{tmp_path / name}/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(db.execute(queries.ORACLE["op9_benchmark_decontamination"]).fetchall())
+    rows = {r["doc_id"]: tuple(r)[2:] for r in got}
+    assert rows[1] == (10, 1, sha(""), True) and rows[7] == (1, 2, sha("11"), True)
+    assert decontaminate.remove_documents(docs, bench).where("doc_id in (1, 7)").count() == 0
+    assert {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, bench).collect()}[1] == "\nalpha beta"
+
+
 def test_decontamination_over_the_given_tables(spark, documents):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = [tuple(r) for r in bench.select("item_id", "text").collect()]
