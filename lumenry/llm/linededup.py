@@ -1,14 +1,20 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups. DataFrame functions only.
 
-Lines are normalised (lower case, runs of anything but letters and digits to one space). Lines of the same
-normal form are one node. Nodes whose 64-bit SimHash over words differs in at most ``DISTANCE`` bits are compared by edit
-similarity of their normal forms; links of ``SIMILARITY`` or more connect nodes to groups, and of each group's
-occurrences the first, by (doc_id, hash of the text, line number), stays.
-
-Candidates: signatures within d bits agree on at least m of m+d blocks, so every choice of m blocks is a
-key and every such pair shares a key. A node is first compared with one near smallest node of its buckets; then all
-near nodes of a bucket that are not yet in one component are compared with each other. The components are those of
-all links, without emitting all pairs of a group.
+Lines are normalised (lower case, runs of anything but letters and digits to one space). Lines of the same normal form are one
+node. A node's SimHash has ``BLOCKS`` blocks of ``BITS`` bits. Every word belongs to one block, by its hash, and a block is the SimHash
+of its words, beside their number; so a changed word touches two blocks at most, however short or long the line is, where
+in a SimHash over all words it flips bits anywhere. Nodes that agree in ``MATCHING`` blocks which hold a quarter of a
+line's words (two at least) are candidates: every choice of that many blocks is a key. Lines that differ in one word
+always share a key; of those that differ in two, three or four words (replaced, 40 words a line) 81, 39 and 15 in 100 do, and
+groups are connected through further members. Lines of one word have no near copies but equal ones.
+
+Candidates of edit similarity ``SIMILARITY`` or more are linked: 1 - edits / longer length, in characters, or in words where
+the longer line has over ``LONG`` characters (its lengths must allow the similarity in characters too). Linked nodes form groups, and of each
+group's occurrences the first, by (doc_id, hash of the text, line number), stays.
+
+No group's pairs are all emitted: buckets' members meet one lead each in a pass, members of a bucket's largest component need
+no lead, and what ``PASSES`` passes leave open is compared inside arrays of ``BLOCK`` lines, every pair of blocks a row; only links leave.
+The components are those of all links among candidates.
 
 Defined results: null texts pass unchanged and have no lines; blank lines (no letter or digit) are never dropped; a row repeated with
 the same id and text is kept once; a null id takes part as the smallest; an empty table gives an empty result; further
@@ -19,92 +25,35 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 from .graph import components
 
-DISTANCE = 3
+BLOCKS, MATCHING = 5, 2
 SIMILARITY = 0.8
-#: Document ids (or rows of dropped lines) that may be broadcast; beyond, Spark shuffles.
+#: Characters beyond which similarity is counted in words.
+LONG = 400
+#: Passes with one lead a bucket, and lines in an array after them.
+PASSES, BLOCK = 2, 64
+#: Rows that may be broadcast (lines or documents: a few numbers each); beyond, Spark shuffles.
 BROADCAST_ROWS = 300_000
 BROADCAST_POSITIONS = 3_000_000
-#: Line ids (8 bytes each) that may be broadcast.
 BROADCAST_IDS = 1_000_000
+#: A long holds a counter for every block; the lanes' highest bit stays free, so a line of more words is counted by block.
+LANE = 64 // BLOCKS
+BITS = 64 - LANE * (BLOCKS - 1)
+MOST_WORDS = (1 << (LANE - 1)) - 1
+LONG_LINE = 2 * MOST_WORDS
+_ONES = sum(1 << (LANE * k) for k in range(BLOCKS))
+_PLACE = ("doc_id", "h", "pos")
+_OWN = (*_PLACE, "k1", "k2")
 
 
 def normal_form(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]++", " "))
-
-
-#: Words are counted in lanes of 16 bits, four in a long; the highest must stay below its sign bit.
-LANE = 16
-#: Lines of at least so many characters may have more words than lanes count, and are counted bit by bit.
-LONG_LINE = 2 * ((1 << (LANE - 1)) - 1)
-
-
-def _position(bit: int) -> int:
-    """Where a hash bit stands in the signature: lanes that are compared together stand in one mask."""
-    m, k = divmod(bit, 8)
-    return 8 * m + 2 * k if m % 2 == 0 else 8 * (m - 1) + 2 * k + 1
-
-
-def _lane_sums(h: Column) -> list[Column]:
-    """Sums over rows of the hash bits: lane q of sum c<i> counts bit 16q+i."""
-    ones = F.lit(sum(1 << (LANE * q) for q in range(64 // LANE)))
-    return [F.sum(F.shiftright(h, i).bitwiseAND(ones)).alias(f"c{i}") for i in range(LANE)]
-
-
-def _majority(n: Column) -> Column:
-    """The signature from lane sums: a bit for every hash bit that more than half of n words have."""
-    ones = sum(1 << (2 * LANE * q) for q in range(64 // (2 * LANE)))
-    lanes = F.lit(ones * ((1 << LANE) - 1))
-    # a lane reaches the bit above it exactly if its count is over n/2
-    lift = (F.lit(1 << LANE) - F.floor(n / 2).cast("long") - 1) * F.lit(ones)
-    out = F.lit(0).cast("long")
-    for i in range(LANE):
-        for odd in (0, 1):
-            own = F.shiftrightunsigned(f"c{i}", LANE * odd).bitwiseAND(lanes)
-            bits = F.shiftrightunsigned(own + lift, LANE).bitwiseAND(F.lit(ones))
-            out = out.bitwiseOR(F.shiftleft(bits, _position(LANE * odd + i)))
-    return out
-
-
-def _bit_counter(b: int):
-    return lambda a, h: a + F.shiftright(h, b).bitwiseAND(F.lit(1).cast("long"))
-
-
-def _counted(hashes: Column) -> Column:
-    """The same signature bit by bit from an array of hashes."""
-    out = F.lit(0).cast("long")
-    for b in range(64):
-        on = F.aggregate(hashes, F.lit(0).cast("long"), _bit_counter(b))
-        out = out.bitwiseOR(F.when(on * 2 > F.size(hashes), F.shiftleft(F.lit(1).cast("long"), _position(b))).otherwise(F.lit(0).cast("long")))
-    return out
-
-
-def block_masks(distance: int, matching: int) -> list[int]:
-    """One mask for every choice of ``matching`` of ``matching + distance`` blocks of the 64 bits."""
-    n = matching + distance
-    edges = [round(64 * k / n) for k in range(n + 1)]
-    blocks = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(n)]
-    return [sum(x) for x in combinations(blocks, matching)]
-
-
-def matching_blocks(nodes: int, distance: int = DISTANCE) -> int:
-    """Blocks in a key: as few as leave a random pair of nodes fewer than about one mate a key in sixteen.
-
-    Any number finds the same pairs; more blocks make longer keys, and more of them.
-    """
-    for m in range(2, 6):
-        if nodes < 2 ** (64 * m / (m + distance)) / 8:
-            return m
-    return 6
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    # a single space between words is no match, so nothing is put in its place
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N} ][^\p{L}\p{N}]*+| [^\p{L}\p{N}]++", " "))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -120,128 +69,192 @@ def _hashes_of(norm: Column) -> list[Column]:
     return [F.xxhash64(norm).alias("k1"), F.xxhash64(norm, F.lit(1)).alias("k2")]
 
 
-def _node(k1: Column, k2: Column) -> Column:
-    """A line's node: the 128 bits of two hashes of its normal form."""
-    return F.unhex(F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0")))
+def _block_of(x: Column) -> Column:
+    return F.pmod(x, F.lit(BLOCKS)).cast("int")
+
+
+def _lane(k: int, value: Column) -> Column:
+    return F.shiftrightunsigned(value, LANE * k).bitwiseAND(F.lit((1 << (LANE - 1)) - 1))
+
+
+def _from_lanes() -> list[Column]:
+    """Columns b0.. of blocks, from n (words of each block) and c0.. (how many of them have bit i), a lane a block."""
+    half = F.shiftrightunsigned("n", 1).bitwiseAND(F.lit(_ones_times(MOST_WORDS)))
+    # a lane's highest bit is set exactly if its count is over half of its words
+    lift = F.lit(_ones_times(MOST_WORDS)) - half
+    parts: list[Column] = []
+    for i in range(BITS):
+        bit = F.shiftleft(F.shiftrightunsigned(F.col(f"c{i}") + lift, LANE - 1).bitwiseAND(F.lit(_ONES)), i % (LANE - 1))
+        if i % (LANE - 1):
+            parts[-1] = parts[-1].bitwiseOR(bit)
+        else:
+            parts.append(bit)
+    out = []
+    for k in range(BLOCKS):
+        block = F.shiftleft(_lane(k, F.col("n")), BITS)
+        for p, part in enumerate(parts):
+            block = block.bitwiseOR(F.shiftleft(_lane(k, part), p * (LANE - 1)))
+        out.append(block.alias(f"b{k}"))
+    return out
+
+
+def _ones_times(x: int) -> int:
+    return sum(x << (LANE * k) for k in range(BLOCKS))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, node, size, sig) of every line: node stands for its normal form, sig is the 64-bit SimHash of its words.
+    """(doc_id, h, pos, k1, k2, b0..) of every line: k1 and k2 stand for its normal form, b0.. are the blocks of its SimHash.
 
-    Words are exploded and added up by line in generated code, keyed by one number a line. A line's words are in one task, so
-    the exchange has a row a line.
+    Words are exploded and added up by line in generated code: each adds its bits to its block's lane of sixteen numbers. A line's words are
+    in one task, so the exchange has a row a line.
     """
-    own = lines(docs).select("doc_id", "h", "pos", *_hashes_of(F.col("norm")), F.length("norm").alias("size"), "norm")
-    carried = ("doc_id", "h", "pos", "k1", "k2", "size")
-    numbered = own.where(F.col("size") < LONG_LINE).withColumn("line", F.monotonically_increasing_id())  # before words are exploded
-    word = numbered.select("line", *carried, F.explode(F.split("norm", " ")).alias("w"))
-    sums = word.select("line", *carried, F.xxhash64("w").alias("x")).groupBy("line")
-    sums = sums.agg(*(F.max(c).alias(c) for c in carried), F.count("*").alias("words"), *_lane_sums(F.col("x")))
-    node = _node(F.col("k1"), F.col("k2")).alias("node")
-    short = sums.select("doc_id", "h", "pos", node, "size", _majority(F.col("words")).alias("sig"))
-    rare = lines(docs.where(F.length("text") >= LONG_LINE)).select("doc_id", "h", "pos", *_hashes_of(F.col("norm")), F.length("norm").alias("size"), "norm")
-    hashed = rare.where(F.col("size") >= LONG_LINE).withColumn("x", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
-    return short.unionByName(hashed.select("doc_id", "h", "pos", node, "size", _counted(F.col("x")).alias("sig")))
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, norm) of wanted (id, first), from the documents that hold them."""
-    wanted = wanted.select("id", F.col("first.doc_id").alias("w_id"), F.col("first.h").alias("w_h"), F.col("first.pos").alias("w_pos"))
-    ids = wanted.select("w_id", "w_h").distinct()
+    own = lines(docs).select(*_PLACE, *_hashes_of(F.col("norm")), "norm")
+    numbered = own.where(F.length("norm") < LONG_LINE).withColumn("line", F.monotonically_increasing_id())  # before words are exploded
+    word = numbered.select("line", *_OWN, F.explode(F.split("norm", " ")).alias("w")).select("line", *_OWN, F.xxhash64("w").alias("x"))
+    word = word.withColumn("m", F.call_function("shiftleft", F.lit(1).cast("long"), _block_of(F.col("x")) * LANE))
+    bits = (F.sum(F.shiftright("x", i).bitwiseAND(F.col("m"))).alias(f"c{i}") for i in range(BITS))
+    sums = word.groupBy("line").agg(*(F.max(c).alias(c) for c in _OWN), F.sum("m").alias("n"), *bits)
+    short = sums.select(*_OWN, *_from_lanes())
+    # the same for long lines, a row a block
+    rest = lines(docs.where(F.length("text") >= LONG_LINE)).where(F.length("norm") >= LONG_LINE)
+    rest = rest.select(*_PLACE, *_hashes_of(F.col("norm")), F.explode(F.split("norm", " ")).alias("w")).select(*_OWN, F.xxhash64("w").alias("x"))
+    rest = rest.withColumn("k", _block_of(F.col("x"))).withColumn("m", F.call_function("shiftright", F.col("x"), F.col("k") * LANE))
+    counts = rest.groupBy(*_OWN, "k").agg(F.count("*").alias("n"), *(F.sum(F.shiftright("m", i).bitwiseAND(F.lit(1))).alias(f"c{i}") for i in range(BITS)))
+    block = F.shiftleft(F.least("n", F.lit(1 << 31)), BITS)
+    for i in range(BITS):
+        block = block + F.when(F.col(f"c{i}") * 2 > F.col("n"), 1 << i).otherwise(0)
+    counts = counts.select(*_OWN, "k", block.alias("b"))
+    rare = counts.groupBy(*_OWN).agg(*(F.coalesce(F.max(F.when(F.col("k") == k, F.col("b"))), F.lit(0)).alias(f"b{k}") for k in range(BLOCKS)))
+    return short.unionByName(rare)
+
+
+def keys() -> Column:
+    """Array of keys from b0..: one for every choice of MATCHING blocks that hold enough of the line's words; null elsewhere."""
+    words = [F.shiftrightunsigned(f"b{k}", BITS) for k in range(BLOCKS)]
+    total = sum(words[1:], words[0])
+    out = []
+    for j, choice in enumerate(combinations(range(BLOCKS), MATCHING)):
+        own = sum((words[k] for k in choice[1:]), words[choice[0]])
+        out.append(F.when((own >= 2) & (own * 4 >= total), F.xxhash64(F.lit(j), *(F.col(f"b{k}") for k in choice))))
+    return F.array(*out)
+
+
+def _small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows, to be broadcast if they are few."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _texts(docs: DataFrame, every: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, size, norm, codes) of lines by k1: norm where it may be compared in characters, codes where in words (a character a word)."""
+    first = every.join(_small(ids), F.col("k1") == F.col("id"), "left_semi").groupBy("k1").agg(F.min(F.struct(*_PLACE)).alias("f"))
+    wanted = table(first.select(F.col("k1").alias("id"), F.col("f.doc_id").alias("w_id"), F.col("f.h").alias("w_h"), F.col("f.pos").alias("w_pos")))
+    small = wanted.count() <= BROADCAST_ROWS
+    held = wanted.groupBy("w_id", "w_h").agg(F.count("*"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    small = ids.count() <= BROADCAST_ROWS
-    source = source.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")), "left_semi")
-    rows = source.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")) & (F.col("pos") == F.col("w_pos"))
-    few = small and wanted.count() <= BROADCAST_ROWS
-    found = rows.join(F.broadcast(wanted) if few else wanted, on)
-    return found.select("id", normal_form(F.col("line")).alias("norm"))
-
-
-_LETTERS = "abcdefghijklmnopqrstuvwxyz "
-
-
-def _letter_counts(norm: Column) -> Column:
-    return F.array(*(F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))) for c in _LETTERS))
-
-
-def _may_be_similar(similarity: float) -> Column:
-    """False where letters that one text has more of than the other already ask for too many edits."""
-    more = F.zip_with("letters_a", "letters_b", lambda x, y: x - y)
-    surplus = F.aggregate(more, F.lit(0), lambda a, d: a + F.greatest(d, F.lit(0)))
-    lack = F.aggregate(more, F.lit(0), lambda a, d: a + F.greatest(-d, F.lit(0)))
-    return F.greatest(surplus, lack) <= F.greatest(F.length("norm_a"), F.length("norm_b")) * (1 - similarity) + 1e-9
-
-
-def _similar(a: str, b: str, similarity: float) -> Column:
-    """Edit similarity of two columns at the threshold or above. Near pairs are told by a narrow band, others by the full one."""
-    limit = f"cast(floor(greatest(length({a}), length({b})) * {1 - similarity} + 1e-9) as int)"
-    return F.expr(f"levenshtein({a}, {b}, least({limit}, 16)) >= 0 or ({limit} > 16 and levenshtein({a}, {b}, {limit}) >= 0)")
-
-
-def _near(distance: int, similarity: float) -> Column:
-    """Of columns sig_a, sig_b, size_a, size_b: signatures are near and lengths allow the similarity."""
-    bits = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= distance
-    # a difference in length is a lower bound of the edit distance
-    return bits & (F.abs(F.col("size_a") - F.col("size_b")) <= (1 - similarity) * F.greatest("size_a", "size_b") + 1e-9)
-
-
-def _verified(near: DataFrame, unique: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) of pairs of ids (a, b) that are near by edit similarity, and the rows (id, node, first, n) looked at."""
-    near = table(near)
-    wanted = table(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    seen = table(unique.select("id", "node", "first", "n").join(F.broadcast(wanted) if few else wanted, "id", "left_semi"))
-    texts = table(_texts(docs, seen).distinct().withColumn("letters", _letter_counts(F.col("norm"))))
-    left, right = (texts.select(F.col("id").alias(s), F.col("norm").alias(f"norm_{s}"), F.col("letters").alias(f"letters_{s}")) for s in "ab")
-    edges = near.join(left, "a").join(right, "b").where(_may_be_similar(similarity)).where(_similar("norm_a", "norm_b", similarity))
-    # ids are hashes of nodes: the edge is between the nodes of the texts compared
-    edges = edges.select(*(_node(*_hashes_of(F.col(f"norm_{s}"))).alias(c) for s, c in (("a", "u"), ("b", "v"))))
-    return table(edges.distinct()), seen
-
-
-def groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, matching: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, groups): (doc_id, h, pos, node) of every line; (node, kept) of nodes that occur again or are linked."""
+    on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))
+    rows = source.join(F.broadcast(held) if small else held, on, "left_semi").select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    found = rows.join(F.broadcast(wanted) if small else wanted, on & (F.col("pos") == F.col("w_pos"))).select("id", normal_form(F.col("line")).alias("norm"))
+    one = F.decode(F.unhex(F.array_join(F.transform(F.split("norm", " "), lambda w: F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x3FFF)) + 0x4E00)), "")), "UTF-16BE")
+    size = F.length("norm")
+    found = found.select("id", size.alias("size"), F.when(size <= LONG, F.col("norm")).alias("norm"), F.when(size >= SIMILARITY * LONG, one).alias("codes"))
+    return table(found.dropDuplicates(["id"]))
+
+
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    """Edit similarity of two (size, norm, codes) at the threshold or above; near ones are told by a narrow band, others by the full one."""
+
+    def within(x: Column, y: Column, length: Column) -> Column:
+        limit = F.floor(length * (1 - similarity) + 1e-9).cast("int")
+        distance = lambda most: F.call_function("levenshtein", x, y, most)
+        return (distance(F.least(limit, F.lit(12))) >= 0) | ((limit > 12) & (distance(limit) >= 0))
+
+    size = F.greatest(a["size"], b["size"])
+    lengths = F.abs(a["size"] - b["size"]) <= (1 - similarity) * size + 1e-9  # a difference in length is a lower bound of the edits
+    by_words = within(a["codes"], b["codes"], F.greatest(F.length(a["codes"]), F.length(b["codes"])))
+    return lengths & F.when(size > LONG, by_words).otherwise(within(a["norm"], b["norm"], size))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs of ids (a, b) that are similar, as (u, v)."""
+    one = F.struct("size", "norm", "codes")
+    left, right = (texts.select(F.col("id").alias(s), one.alias(f"text_{s}")) for s in "ab")
+    return table(pairs.join(left, "a").join(right, "b").where(_alike(F.col("text_a"), F.col("text_b"), similarity)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, id, served, c, minor, n, active): members of buckets that still have pairs to be compared. c is the component; a minor member is
+    outside of the bucket's largest component, and active if it has not been a lead. Every open pair has an active member."""
+    c = F.coalesce("component", "id")
+    marked = members.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "served", c.alias("c"))
+    major = marked.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
+    rows = marked.join(major, "key").withColumn("minor", F.col("c") != F.col("m.c")).withColumn("active", F.col("minor") & ~F.col("served"))
+    left = rows.where("active").groupBy("key").agg(F.count("*").alias("n_active"), F.min("id").alias("lead"))
+    return table(rows.drop("m").join(left, "key"))
+
+
+def _in_blocks(open_: DataFrame, texts: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links of all open pairs: active members of a bucket in arrays against all its members in arrays."""
+    member = F.struct("id", "c", "active", "size", "norm", "codes").alias("x")
+    rows = open_.join(texts, "id").withColumn("na", F.ceil(F.col("n_active") / block).cast("int")).withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
+    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    ours = rows.where("active").groupBy("key", deal("na", 1).alias("i"), "nb").agg(F.collect_list(member).alias("xs"))
+    ours = ours.select("key", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "xs")
+    theirs = rows.groupBy("key", deal("nb", 2).alias("j"), "na").agg(F.collect_list(member).alias("ys"))
+    theirs = theirs.select("key", "j", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), "ys")
+
+    def partners(x: Column) -> Column:
+        meets = lambda y: (x["c"] != y["c"]) & (~y["active"] | (x["id"] < y["id"])) & _alike(x, y, similarity)
+        return F.transform(F.filter("ys", meets), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v")))
+
+    return ours.join(theirs, ["key", "i", "j"]).select(F.explode(F.flatten(F.transform("xs", partners))).alias("e")).select("e.u", "e.v")
+
+
+def linked(docs: DataFrame, every: DataFrame, unique: DataFrame, similarity: float = SIMILARITY, passes: int = PASSES, block: int = BLOCK) -> DataFrame:
+    """(node, component) of all nodes (by k1) with a link."""
+    rows = unique.select(F.col("k1").alias("id"), F.explode(keys()).alias("key")).where("key is not null")
+    shared = table(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").drop("hi"))
+    members = table(rows.join(_small(shared), "key").withColumn("served", F.col("id") == F.col("lo")))
+    pairs = table(members.where("not served").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
+    members = members.drop("lo")
+    texts = _texts(docs, every, table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
+    links = _verified(pairs, texts, similarity)
+    parts = components(links)
+    for left in range(passes, -1, -1):
+        open_ = _open(members, parts)
+        if not open_.head(1):
+            break
+        if left:
+            lead = open_.where("id = lead").select("key", F.col("c").alias("c_lead"))
+            pairs = open_.join(lead, "key").where("c <> c_lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+            more = _verified(pairs, texts, similarity)
+            members = open_.select("key", "id", (F.col("served") | (F.col("id") == F.col("lead"))).alias("served"))
+        else:
+            more = table(_in_blocks(open_, texts, similarity, block))
+        if more.head(1):
+            links = links.unionByName(more)
+            parts = components(links)
+    return parts
+
+
+def groups(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, h, pos, g1, g2, kept): every line that occurs again or is linked, and the place of the one that stays."""
     every = table(occurrences(docs))
-    unique = table(
-        every.groupBy("node")
-        .agg(F.min(F.struct("doc_id", "h", "pos")).alias("first"), F.count("*").alias("n"), F.max("sig").alias("sig"), F.max("size").alias("size"))
-        .withColumn("id", F.xxhash64("node"))
-    )
-    masks = block_masks(distance, matching or matching_blocks(unique.count(), distance))
-    keys = F.array(*(F.xxhash64(F.lit(k), F.col("sig").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)))
-    bucket = Window.partitionBy("key")
-    rows = unique.select("id", F.explode(keys).alias("key"))
-    shared = rows.select("key", "id", F.min("id").over(bucket).alias("lead"), F.max("id").over(bucket).alias("last")).where("lead <> last").drop("last")
-    shared = table(table(shared).join(unique.select("id", "sig", "size"), "id"))
-    # first pass: every line with one of its buckets' leads that is near by signature
-    lead = F.min(F.struct("id", "sig", "size")).over(bucket)
-    leads = shared.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"), lead.alias("x"))
-    leads = leads.select("b", "sig_b", "size_b", F.col("x.id").alias("a"), F.col("x.sig").alias("sig_a"), F.col("x.size").alias("size_a"))
-    leads = leads.where("a <> b").where(_near(distance, similarity)).groupBy("b").agg(F.min("a").alias("a"))
-    links, seen = _verified(leads, unique, docs, similarity)
-    linked = table(components(links))
-    # second pass: what one bucket holds of different components, or of none yet; only near pairs leave the join
-    known = linked.join(seen.select("node", "id"), "node").select("id", F.xxhash64("component").alias("c"))
-    marked = shared.join(known, "id", "left").select("key", "id", "sig", "size", F.coalesce("c", "id").alias("c"))
-    mixed = marked.select("*", F.min("c").over(bucket).alias("c0"), F.max("c").over(bucket).alias("c1")).where("c0 <> c1")
-    left = table(mixed.select("key", F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a"), F.col("c").alias("c_a")))
-    right = left.select("key", *(F.col(f"{c}a").alias(f"{c}b") for c in ("", "sig_", "size_", "c_")))
-    pairs = left.join(right, "key").where("a < b and c_a <> c_b").where(_near(distance, similarity)).select("a", "b").distinct()
-    more, also = _verified(pairs, unique, docs, similarity)
-    if more.head(1):
-        linked, seen = components(links.unionByName(more)), seen.unionByName(also).distinct()
-    again = unique.where("n > 1").select("node", F.col("first").alias("f1"), F.col("n").alias("n1"))
-    looked = linked.join(seen.select("node", F.col("first").alias("f2"), F.col("n").alias("n2")), "node")
-    nodes = again.join(looked, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("f1", "f2").alias("first"), F.coalesce("n1", "n2").alias("n"))
-    kept = nodes.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n"))
-    return every.drop("sig", "size"), table(nodes.select("node", "component").join(kept, "component").drop("component"))
+    blocks = [F.max(f"b{k}").alias(f"b{k}") for k in range(BLOCKS)]
+    unique = table(every.groupBy("k1", "k2").agg(F.count("*").alias("n"), *blocks))
+    every = every.select(*_OWN)
+    parts = linked(docs, every, unique, **parameters)
+    again = unique.where("n > 1").select("k1", "k2")
+    looked = unique.join(_small(parts.select(F.col("node").alias("k1"), "component")), "k1").select("k1", "k2", "component")
+    own = F.when(F.col("component").isNull(), F.col("k2")).otherwise(0)
+    nodes = table(again.join(looked, ["k1", "k2"], "full_outer").select("k1", "k2", F.coalesce("component", "k1").alias("g1"), own.alias("g2")))
+    rows = table(every.join(_small(nodes), ["k1", "k2"]).select(*_PLACE, "g1", "g2"))
+    kept = table(rows.groupBy("g1", "g2").agg(F.min(F.struct(*_PLACE)).alias("kept")))
+    return rows.join(_small(kept), ["g1", "g2"])
 
 
 def dropped_lines(docs: DataFrame, **parameters) -> DataFrame:
     """(doc_id, h, drops): line numbers to drop of each document that loses lines."""
-    every, found = groups(docs, **parameters)
-    again = every.join(found, "node").where(~F.struct("doc_id", "h", "pos").eqNullSafe(F.col("kept")))
+    again = groups(docs, **parameters).where(~F.struct(*_PLACE).eqNullSafe(F.col("kept")))
     return table(again.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("drops")))
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -111,11 +112,32 @@ def test_bayesian_pruning_keeps_what_may_reach_the_threshold():
     assert jaccard.fewest_matches(125, 0.8, 1e-4) >= 70
 
 
-def simhash(norm):
+def blocks(norm):
+    """(words, bits) of every block of a line's SimHash."""
     import xxhash
 
-    h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in norm.split(" ")]
-    return sum((sum(x >> b & 1 for x in h) * 2 > len(h)) << b for b in range(64))
+    x = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in norm.split(" ")]
+    x = [h - (1 << 64) if h >> 63 else h for h in x]
+    own = [[h >> (linededup.LANE * k) for h in x if h % linededup.BLOCKS == k] for k in range(linededup.BLOCKS)]
+    return [(len(h), sum((sum(y >> i & 1 for y in h) * 2 > len(h)) << i for i in range(linededup.BITS))) for h in own]
+
+
+def candidates(a, b):
+    """Whether two lines' blocks agree in enough that hold a quarter of the words of each."""
+    for choice in combinations(range(linededup.BLOCKS), linededup.MATCHING):
+        n = sum(a[k][0] for k in choice)
+        if all(a[k] == b[k] for k in choice) and n >= 2 and all(4 * n >= sum(c for c, _ in x) for x in (a, b)):
+            return True
+    return False
+
+
+def similar(a, b):
+    if abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)) + 1e-9:
+        return False
+    if max(len(a), len(b)) > linededup.LONG:
+        known = {w: chr(k + 1000) for k, w in enumerate(dict.fromkeys(a.split(" ") + b.split(" ")))}
+        a, b = ("".join(known[w] for w in x.split(" ")) for x in (a, b))
+    return 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8 - 1e-9
 
 
 def levenshtein(a, b):
@@ -157,11 +179,11 @@ def test_line_dedup_equals_brute_force(spark, lined):
             if norm(line):
                 at[norm(line)].append((i, p))
     nodes = sorted(at)
-    sig = {n: simhash(n) for n in nodes}
+    sig = {n: blocks(n) for n in nodes}
     links = []
     for a in nodes:
         for b in nodes:
-            if a < b and (sig[a] ^ sig[b]).bit_count() <= 3 and 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8:
+            if a < b and candidates(sig[a], sig[b]) and similar(a, b):
                 links.append((a, b))
     assert len(links) > 50
     group = partition(links, nodes)
@@ -177,8 +199,8 @@ def test_line_dedup_equals_brute_force(spark, lined):
     assert len(got) == len(rows)
     for r in got:
         assert r["dropped"] == ",".join(map(str, sorted(drops[r["doc_id"]]))), r["doc_id"]
-    for matching in (3, 4):
-        again = linededup.report(lined, matching=matching).collect()
+    for parameters in ({"passes": 0, "block": 4}, {"passes": 1, "block": 64}, {"passes": 9}):
+        again = linededup.report(lined, **parameters).collect()
         assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     left = {r["doc_id"]: r["text"] for r in linededup.dedup(lined).collect()}
     for i, t in rows:
@@ -193,24 +215,31 @@ def test_line_dedup_equals_brute_force(spark, lined):
 
 def test_signatures_of_short_and_long_lines(spark, monkeypatch):
     lines = ["alpha beta", " ".join(f"x{k % 97}" for k in range(127)), " ".join(f"x{k}" for k in range(128)), " ".join(f"y{k % 50}" for k in range(20_000)), " ".join(f"y{k % 50}" for k in range(40_000))]
-    place = {b: linededup._position(b) for b in range(64)}
-    assert sorted(place.values()) == list(range(64))
+    lines.append(" ".join("ab"[k % 3 == 0] for k in range(linededup.MOST_WORDS)))
     df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
     for limit in (linededup.LONG_LINE, 10):
         monkeypatch.setattr(linededup, "LONG_LINE", limit)
         for r in linededup.occurrences(df).collect():
-            want = simhash(lines[r["doc_id"]])
-            assert r["sig"] % 2**64 == sum((want >> b & 1) << place[b] for b in range(64))
-
-
-def test_block_masks_meet_the_pigeonhole():
-    for m in (2, 3, 4):
-        masks = linededup.block_masks(3, m)
-        for _ in range(200):
-            flip = 0
-            for b in RNG.sample(range(64), 3):
-                flip |= 1 << b
-            assert any(not flip & mask for mask in masks)
+            got = [r[f"b{k}"] for k in range(linededup.BLOCKS)]
+            assert got == [n << linededup.BITS | bits for n, bits in blocks(lines[r["doc_id"]])]
+
+
+def test_line_dedup_against_edit_similarity_alone(spark):
+    """Pairs of a line and a copy with changed words: all of similarity 0.8 or more are wanted, whatever their blocks."""
+    rng, rows, want = random.Random(11), [], {n: [] for n in (1, 2, 3, 4)}
+    for k in range(800):
+        words_, n = [rng.choice(VOCABULARY) + str(rng.randrange(50)) for _ in range(rng.randint(12, 70))], 1 + k % 4
+        other = list(words_)
+        for at in rng.sample(range(len(other)), n):
+            other[at] = rng.choice((rng.choice(VOCABULARY), other[at] + "s", ""))
+        pair = " ".join(words_), " ".join(w for w in other if w)
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+        if pair[0] != pair[1] and similar(*pair):
+            want[n].append(2 * k + 1)
+    lost = {r["doc_id"] for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_dropped = 1").collect()}
+    found = {n: len(lost & set(ids)) / len(ids) for n, ids in want.items()}
+    assert found[1] >= 0.98 and found[2] >= 0.75 and found[3] >= 0.3, found
+    assert lost <= {i for ids in want.values() for i in ids}
 
 
 def test_line_dedup_of_odd_rows(odd, empty):
