@@ -8,39 +8,30 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROUNDS = 60
-#: A node of more edges than this, and than one in HUBS of all edges, is a hub. There are at most HUBS of them, so what belongs to a hub is broadcast
-#: and its edges are not sent to one task.
-HUB_EDGES, HUBS = 200, 10_000
-
 
 def _stamp(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _with_least(edges: DataFrame, most: int) -> DataFrame:
-    """The edges (u, v) with m, the least v of u's edges."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hubs = low.where(F.col("n") > most).select("u", F.col("m").alias("m_hub"))
-    marked = edges.join(F.broadcast(hubs), "u", "left")
-    rest = marked.where("m_hub is null").drop("m_hub").join(low.where(F.col("n") <= most).drop("n"), "u")
-    return rest.unionByName(marked.where("m_hub is not null").select("u", "v", F.col("m_hub").alias("m")))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """The edges (u, v) with m, the least v of u's edges. The least ones are written first, so that the join is one of plain
+    exchanges, of which adaptive execution splits those of a hub."""
+    return edges.join(table(edges.groupBy("u").agg(F.min("v").alias("m"))), "u")
 
 
 def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, component) for every node of edges (u, v); the component is its smallest node.
 
     Each round halves distances at least, so the number of rounds grows with the logarithm of the longest
-    path. Edges of a node of very many meet its least neighbour by broadcast, where they are. No group
-    is gathered. Nodes without edges don't occur in the result.
+    path. No group is gathered, and a node of very many edges is split over tasks. Nodes without edges don't occur in the result.
     """
     e = table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     stamp = _stamp(e)
     for _ in range(rounds if stamp[0] else 0):
-        most = max(HUB_EDGES, 2 * stamp[0] // HUBS)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, most).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("m")).where("u <> m")
-        large = large.select("u", F.col("m").alias("v")).distinct()
-        small = _with_least(large, most).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("m")).where("u <> m")
+        large = table(large.select("u", F.col("m").alias("v")).distinct())
+        small = _with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         e = table(small.select("e.u", "e.v").where("u <> v").distinct())
         now = _stamp(e)
         if now == stamp:

@@ -1,6 +1,6 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups. DataFrame functions only.
 
-Lines are normalised (lower case, runs of anything but letters and digits to one space). Lines of the same normal form are one
+Lines are normalised (lower case, runs of blanks, punctuation and other marks to one space). Lines of the same normal form are one
 node. A node's SimHash has ``BLOCKS`` blocks of ``BITS`` bits. Every word belongs to one block, by its hash, and a block is the SimHash
 of its words, beside their number; so a changed word touches two blocks at most, however short or long the line is, where
 in a SimHash over all words it flips bits anywhere. Nodes that agree in ``MATCHING`` blocks which hold a quarter of a
@@ -12,7 +12,7 @@ Candidates of edit similarity ``SIMILARITY`` or more are linked: 1 - edits / lon
 the longer line has over ``LONG`` characters (its lengths must allow the similarity in characters too). Linked nodes form groups, and of each
 group's occurrences the first, by (doc_id, hash of the text, line number), stays.
 
-No group's pairs are all emitted: buckets' members meet one lead each in a pass, members of a bucket's largest component need
+No group's pairs are all emitted: members of buckets of over ``SMALL`` lines meet one lead each in a pass, members of a bucket's largest component need
 no lead, and what ``PASSES`` passes leave open is compared inside arrays of ``BLOCK`` lines, every pair of blocks a row; only links leave.
 The components are those of all links among candidates.
 
@@ -35,8 +35,8 @@ BLOCKS, MATCHING = 5, 2
 SIMILARITY = 0.8
 #: Characters beyond which similarity is counted in words.
 LONG = 400
-#: Passes with one lead a bucket, and lines in an array after them.
-PASSES, BLOCK = 2, 64
+#: Buckets of up to so many lines are compared pair by pair; in larger ones, passes with one lead after the first, and lines in an array after them.
+SMALL, PASSES, BLOCK = 16, 1, 64
 #: Rows that may be broadcast (lines or documents: a few numbers each); beyond, Spark shuffles.
 BROADCAST_ROWS = 300_000
 BROADCAST_POSITIONS = 3_000_000
@@ -51,18 +51,25 @@ _PLACE = ("doc_id", "h", "pos")
 _OWN = (*_PLACE, "k1", "k2")
 
 
+#: What stands between words: blanks, marks of ASCII and Latin-1 one by one (a set looked up by bit), and Unicode's blocks of punctuation.
+_MARKS = "".join("\\" + chr(c) for c in (*range(32, 48), *range(58, 65), *range(91, 97), *range(123, 127), *range(161, 170), *range(171, 178), 180, *range(182, 185), 187, 191, 215, 247))
+_BETWEEN = rf"[{_MARKS}\t\r\f\x0b\x85\xa0\u2000-\u206f\u3000-\u303f]++"
+
+
 def normal_form(line: Column) -> Column:
-    # a single space between words is no match, so nothing is put in its place
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N} ][^\p{L}\p{N}]*+| [^\p{L}\p{N}]++", " "))
+    return F.trim(F.regexp_replace(F.lower(line), _BETWEEN, " "))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, norm): every line that is not blank, h the hash of the whole text."""
-    return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .where(F.col("line").rlike(r"[\p{L}\p{N}]"))  # where the normal form isn't empty, at the first letter
-        .select("doc_id", "h", "pos", normal_form(F.col("line")).alias("norm"))
-    )
+def _split(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, pos, line) of all lines. Hashes of texts are taken before the split, once a text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
+    return own.select("doc_id", "h", F.posexplode("lines").alias("pos", "line"))
+
+
+def lines(docs: DataFrame, least: int = 0) -> DataFrame:
+    """(doc_id, h, pos, norm): every line that is not blank (and has ``least`` characters), h the hash of the whole text."""
+    rows = _split(docs).where(F.length("line") >= least) if least else _split(docs)
+    return rows.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "h", "pos", normal_form(F.col("line")).alias("norm"))
 
 
 def _hashes_of(norm: Column) -> list[Column]:
@@ -116,7 +123,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     sums = word.groupBy("line").agg(*(F.max(c).alias(c) for c in _OWN), F.sum("m").alias("n"), *bits)
     short = sums.select(*_OWN, *_from_lanes())
     # the same for long lines, a row a block
-    rest = lines(docs.where(F.length("text") >= LONG_LINE)).where(F.length("norm") >= LONG_LINE)
+    # lower-casing may make two characters of one
+    rest = lines(docs.where(F.length("text") >= LONG_LINE // 2), LONG_LINE // 2).where(F.length("norm") >= LONG_LINE)
     rest = rest.select(*_PLACE, *_hashes_of(F.col("norm")), F.explode(F.split("norm", " ")).alias("w")).select(*_OWN, F.xxhash64("w").alias("x"))
     rest = rest.withColumn("k", _block_of(F.col("x"))).withColumn("m", F.call_function("shiftright", F.col("x"), F.col("k") * LANE))
     counts = rest.groupBy(*_OWN, "k").agg(F.count("*").alias("n"), *(F.sum(F.shiftright("m", i).bitwiseAND(F.lit(1))).alias(f"c{i}") for i in range(BITS)))
@@ -152,7 +160,8 @@ def _texts(docs: DataFrame, every: DataFrame, ids: DataFrame) -> DataFrame:
     held = wanted.groupBy("w_id", "w_h").agg(F.count("*"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))
-    rows = source.join(F.broadcast(held) if small else held, on, "left_semi").select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = source.join(F.broadcast(held) if small else held, on, "left_semi").select("doc_id", "h", F.split("text", "\n").alias("lines"))
+    rows = rows.select("doc_id", "h", F.posexplode("lines").alias("pos", "line"))
     found = rows.join(F.broadcast(wanted) if small else wanted, on & (F.col("pos") == F.col("w_pos"))).select("id", normal_form(F.col("line")).alias("norm"))
     one = F.decode(F.unhex(F.array_join(F.transform(F.split("norm", " "), lambda w: F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x3FFF)) + 0x4E00)), "")), "UTF-16BE")
     size = F.length("norm")
@@ -209,13 +218,17 @@ def _in_blocks(open_: DataFrame, texts: DataFrame, similarity: float, block: int
     return ours.join(theirs, ["key", "i", "j"]).select(F.explode(F.flatten(F.transform("xs", partners))).alias("e")).select("e.u", "e.v")
 
 
-def linked(docs: DataFrame, every: DataFrame, unique: DataFrame, similarity: float = SIMILARITY, passes: int = PASSES, block: int = BLOCK) -> DataFrame:
+def linked(docs: DataFrame, every: DataFrame, unique: DataFrame, similarity: float = SIMILARITY, passes: int = PASSES, block: int = BLOCK, small: int = SMALL) -> DataFrame:
     """(node, component) of all nodes (by k1) with a link."""
     rows = unique.select(F.col("k1").alias("id"), F.explode(keys()).alias("key")).where("key is not null")
     shared = table(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").drop("hi"))
-    members = table(rows.join(_small(shared), "key").withColumn("served", F.col("id") == F.col("lo")))
-    pairs = table(members.where("not served").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
-    members = members.drop("lo")
+    members = table(rows.join(_small(shared), "key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    sized = table(members.join(_small(sizes), "key"))
+    few, members = sized.where(F.col("n") <= small), sized.where(F.col("n") > small).withColumn("served", F.col("id") == F.col("lo"))
+    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = table(pairs.unionByName(members.where("not served").select(F.col("lo").alias("a"), F.col("id").alias("b"))).distinct())
+    members = members.select("key", "id", "served")
     texts = _texts(docs, every, table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
     links = _verified(pairs, texts, similarity)
     parts = components(links)

@@ -199,7 +199,7 @@ def test_line_dedup_equals_brute_force(spark, lined):
     assert len(got) == len(rows)
     for r in got:
         assert r["dropped"] == ",".join(map(str, sorted(drops[r["doc_id"]]))), r["doc_id"]
-    for parameters in ({"passes": 0, "block": 4}, {"passes": 1, "block": 64}, {"passes": 9}):
+    for parameters in ({"passes": 0, "block": 4, "small": 2}, {"passes": 2, "small": 2}):
         again = linededup.report(lined, **parameters).collect()
         assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     left = {r["doc_id"]: r["text"] for r in linededup.dedup(lined).collect()}
