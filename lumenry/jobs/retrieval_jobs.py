@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenry.functions import text as T
 from lumenry.jobs.corpus_jobs import CHUNKS, NORM, documents
 from lumenry.jobs.registry import query, read
 from lumenry.operators import answers, cards, chunking, evaluation, retrieval
+from lumenry.sources.shared import table
 
 ASCII = r"[a-zA-Z][a-zA-Z0-9.\-]+|\d{3,}"
 NUMERIC = r"(?:19|20)\d{2}|\d+(?:\.\d+)?%"
@@ -47,8 +49,8 @@ def _items(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     chunked, terms = _chunks(spark, sf_dir), retrieval.query_terms(_items(spark, sf_dir))
-    sizes = chunked.select("chunk_id", F.length(T.normalize(F.col("text"))).alias("size"))
-    return retrieval.bm25(retrieval.token_counts(chunked, terms), terms, sizes, [], ["item_id"])
+    stats = chunked.select(F.length(T.normalize(F.col("text"))).alias("size")).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    return retrieval.bm25(table(retrieval.token_counts(chunked, terms)), terms, stats, ["item_id"])
 
 
 def _options(items):
@@ -96,14 +98,39 @@ def depth_by_format(spark, sf_dir):
 @query(f"""WITH {CHUNKS}, {ITEM_TERMS}, texts AS (SELECT chunk_id, {NORM.format("text")} AS t FROM chunks)
 SELECT term, count(*) AS df, CAST(sum((length(t) - length(replace(t, term, ''))) // length(term)) AS BIGINT) AS tf FROM (SELECT DISTINCT term FROM item_terms), texts WHERE contains(t, term) GROUP BY term""")
 def substring_frequencies(spark, sf_dir):
-    """Document and term frequency of query terms as substrings of windows, by way of three-grams."""
+    """Document and term frequency of query terms as substrings of windows."""
     counts = retrieval.substring_counts(_chunks(spark, sf_dir), retrieval.query_terms(_items(spark, sf_dir)))
     return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-SCOPED = f"""{CHUNKS}, {ITEM_TERMS},
-items AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS r FROM benchmark),
-places AS (SELECT item_id, doc_id FROM documents JOIN items ON doc_id % (SELECT count(*) FROM benchmark) = r),
+TITLES = rf"""
+early AS (SELECT *, row_number() OVER (PARTITION BY domain, doc_id ORDER BY chunk_id) AS c FROM chunks),
+lines AS (SELECT domain, doc_id, regexp_replace(regexp_replace(l, '\s+', ' ', 'g'), '^[ -]+|[ -]+$', '', 'g') AS line FROM (
+  SELECT domain, doc_id, unnest(list_slice(string_split(text, chr(10)), 1, 20)) AS l FROM early WHERE c <= 4)),
+rated AS (SELECT *, CASE WHEN length(line) BETWEEN 6 AND 80 THEN 1 ELSE 0 END - CASE WHEN length(line) > 100 THEN 3 ELSE 0 END + CASE WHEN regexp_matches(line, '保险') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(line, '合同|条款|办法|报告|募集说明书') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(line, '目录|阅读指引|提示|释义|第一章') THEN 3 ELSE 0 END AS score FROM lines WHERE length(line) >= 4),
+titles AS (SELECT domain, doc_id, line AS title FROM (SELECT *, row_number() OVER (PARTITION BY domain, doc_id ORDER BY score DESC, length(line), line) AS r FROM rated) WHERE r = 1)"""
+
+CARDS = rf"""
+kw AS (SELECT domain, doc_id, term, sum(w) AS count FROM (
+  SELECT domain, doc_id, term, 1 AS w FROM (SELECT DISTINCT domain, doc_id, chunk_id, unnest({_terms("text")}) AS term FROM chunks) UNION ALL
+  SELECT domain, doc_id, term, 8 AS w FROM (SELECT DISTINCT domain, doc_id, unnest({_terms("title")}) AS term FROM titles)) GROUP BY domain, doc_id, term),
+kdf AS (SELECT domain, term, count(*) AS df FROM kw GROUP BY domain, term),
+dsize AS (SELECT domain, count(DISTINCT doc_id) AS docs FROM chunks GROUP BY domain),
+kscore AS (SELECT domain, doc_id, term, count, round(ln(1 + count) * ln(1 + (docs + 0.5) / (df + 0.5)) * least(length(term), 6) * CASE WHEN regexp_full_match(term, '{NUMERIC}') THEN 2.5 ELSE 1.0 END, 6) AS score
+  FROM kw JOIN kdf USING (domain, term) JOIN dsize USING (domain)),
+cards AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, doc_id ORDER BY score DESC, length(term) DESC, term) AS rank FROM kscore) WHERE rank <= 180)"""
+
+CARD_TOP = rf"""
+csize AS (SELECT domain, doc_id, count(*) AS n FROM cards GROUP BY domain, doc_id),
+years AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '(?:19|20)\d{{2}}')) AS term FROM (SELECT doc_id, text AS t FROM chunks UNION ALL SELECT doc_id, title FROM titles)),
+parts AS (SELECT item_id, doc_id, {BASE} * (1.0 + 2.0 * (n - rank + 1) / n) AS s FROM item_terms JOIN cards USING (term) JOIN csize USING (domain, doc_id) UNION ALL
+  SELECT item_id, doc_id, {BASE} * 12.0 AS s FROM item_terms JOIN titles ON contains({NORM.format("title")}, term) UNION ALL
+  SELECT item_id, doc_id, {BASE} * 4.0 AS s FROM item_terms JOIN years USING (term)),
+cscored AS (SELECT item_id, doc_id, round(sum(s), 6) AS score FROM parts GROUP BY item_id, doc_id),
+ctop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM cscored) WHERE rank <= 12)"""
+
+SCOPED = f"""{CHUNKS}, {TITLES}, {CARDS}, {ITEM_TERMS}, {CARD_TOP},
+places AS (SELECT item_id, doc_id FROM ctop),
 own AS (SELECT item_id, domain, chunks.doc_id, k, chunk_id, text, {NORM.format("text")} AS t FROM chunks JOIN places USING (doc_id)),
 hits AS (SELECT item_id, doc_id, k, chunk_id, length(t) AS size, term, weight, (length(t) - length(replace(t, term, ''))) // length(term) AS tf FROM own JOIN item_terms USING (item_id) WHERE contains(t, term)),
 df AS (SELECT item_id, term, count(*) AS df FROM hits GROUP BY item_id, term),
@@ -113,46 +140,35 @@ scored AS (SELECT item_id, doc_id, chunk_id, round(sum(weight * ln(1 + (n - df +
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, chunk_id) AS doc_rank FROM scored)"""
 
 
-def _scoped(spark, sf_dir):
-    """Substring BM25 inside each item's candidate documents. Every document is a candidate of one item."""
-    items = _items(spark, sf_dir)
-    n = items.count()
-    order = F.row_number().over(_by_id())
-    places = items.select("item_id", (order - 1).alias("r"))
-    chunked = _chunks(spark, sf_dir).withColumn("r", F.pmod("doc_id", F.lit(n)))
-    own = chunked.join(places, "r").drop("r").withColumn("t", T.normalize(F.col("text")))
-    pairs = own.join(retrieval.query_terms(items), "item_id").where(F.contains("t", "term"))
-    tf = ((F.length("t") - F.length(F.replace("t", "term", F.lit("")))) / F.length("term")).cast("bigint")
-    counts = pairs.select("item_id", "chunk_id", "term", tf.alias("tf"))
-    sizes = own.select("item_id", "chunk_id", "doc_id", F.length("t").alias("size"))
-    scored = retrieval.bm25(counts, retrieval.query_terms(items), sizes.drop("doc_id"), ["item_id"], ["item_id"])
-    return scored.join(sizes.select("chunk_id", "doc_id"), "chunk_id"), own
-
+def _places(spark, sf_dir):
+    """Candidate documents of an item that names none: the twelve best cards."""
+    return _card_top(spark, sf_dir).select("item_id", "doc_id")
 
-def _by_id():
-    from pyspark.sql import Window
 
-    return Window.orderBy("item_id")  # over the benchmark's items only
+def _scoped(spark, sf_dir):
+    """Substring BM25 inside each item's candidate documents."""
+    own = retrieval.candidate_chunks(_chunks(spark, sf_dir), _places(spark, sf_dir))
+    terms = retrieval.query_terms(_items(spark, sf_dir))
+    hits = retrieval.term_hits(own, terms).join(terms, ["item_id", "term"])
+    return hits.groupBy("item_id", "doc_id", "chunk_id").agg(F.round(F.sum(retrieval.score_part(F.col("weight"))), 4).alias("score"))
 
 
 @query(f"WITH {SCOPED} SELECT item_id, doc_id, chunk_id, score, rank, rank > 5 AS is_extra FROM ranked WHERE rank <= 5 OR doc_rank <= 2")
 def quota_coverage(spark, sf_dir):
     """The best five windows of an item, and at least two of each of its documents."""
-    scored, _ = _scoped(spark, sf_dir)
-    return retrieval.quota(scored, ["item_id"]).select("item_id", "doc_id", "chunk_id", "score", "rank", "is_extra")
+    return retrieval.quota(_scoped(spark, sf_dir), ["item_id"]).select("item_id", "doc_id", "chunk_id", "score", "rank", "is_extra")
 
 
 @query(f"""WITH {SCOPED}, picked AS (SELECT *, rank > 5 AS is_extra, count(*) OVER (PARTITION BY item_id) AS n FROM ranked WHERE rank <= 5 OR doc_rank <= 2),
-near AS (SELECT item_id, chunk_id, concat_ws(chr(10), text, lag(text) OVER w, lead(text) OVER w) AS merged, concat_ws(',', chunk_id, lag(chunk_id) OVER w, lead(chunk_id) OVER w) AS merged_ids FROM own WINDOW w AS (PARTITION BY domain, doc_id ORDER BY k)),
+near AS (SELECT item_id, chunk_id, concat_ws(chr(10), text, lag(text) OVER w, lead(text) OVER w) AS merged, concat_ws(',', chunk_id, lag(chunk_id) OVER w, lead(chunk_id) OVER w) AS merged_ids FROM own WINDOW w AS (PARTITION BY item_id, domain, doc_id ORDER BY k)),
 sized AS (SELECT item_id, chunk_id, merged, merged_ids, CAST(greatest(200, CASE WHEN is_extra THEN least(1400, 7000 // n, 800) ELSE least(1400, 7000 // n) END) AS BIGINT) AS max_chars FROM picked JOIN near USING (item_id, chunk_id)),
 found AS (SELECT item_id, chunk_id, min(instr({NORM.format("merged")}, term)) AS pos FROM sized JOIN item_terms USING (item_id) WHERE contains({NORM.format("merged")}, term) GROUP BY item_id, chunk_id)
 SELECT item_id, chunk_id, merged_ids, max_chars, md5(CASE WHEN length(merged) <= max_chars THEN merged ELSE substr(merged, CAST(greatest(coalesce(pos, 1) - max_chars // 3, 1) AS INT), CAST(max_chars AS INT)) END) AS text_md5
 FROM sized LEFT JOIN found USING (item_id, chunk_id)""")
 def evidence_windows(spark, sf_dir):
     """Selected evidence with its neighbours, cut to its budget around the earliest term."""
-    scored, own = _scoped(spark, sf_dir)
-    picked = retrieval.budget(retrieval.quota(scored, ["item_id"]), ["item_id"]).select("item_id", "chunk_id", "max_chars")
-    near = retrieval.with_neighbors(own.select("domain", "doc_id", "k", "chunk_id", "text")).select("chunk_id", "merged", "merged_ids")
+    picked = retrieval.budget(retrieval.quota(_scoped(spark, sf_dir), ["item_id"]), ["item_id"]).select("item_id", "chunk_id", "max_chars")
+    near = retrieval.with_neighbors(_chunks(spark, sf_dir).select("domain", "doc_id", "k", "chunk_id", "text")).select("chunk_id", "merged", "merged_ids")
     terms = retrieval.query_terms(_items(spark, sf_dir)).groupBy("item_id").agg(F.collect_list("term").alias("terms"))
     rows = picked.join(near, "chunk_id").join(terms, "item_id", "left")
     text = retrieval.cut_around(F.col("merged"), F.coalesce("terms", F.array().cast("array<string>")), F.col("max_chars"))
@@ -165,15 +181,11 @@ SELECT item_id, doc_id, coalesce(n, 0) AS n, coalesce(evidence, md5(head)) AS ev
 LEFT JOIN (SELECT item_id, doc_id, count(*) AS n, md5(string_agg(text, chr(10) || '...' || chr(10) ORDER BY k)) AS evidence FROM kept GROUP BY item_id, doc_id) USING (item_id, doc_id)""")
 def source_order_evidence(spark, sf_dir):
     """The best three windows of each candidate document in its own order; without any, the document's beginning."""
-    from pyspark.sql import Window
-
-    scored, own = _scoped(spark, sf_dir)
     best = F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy(F.desc("score"), "chunk_id"))
-    kept = scored.withColumn("d", best).where("d <= 3").select("item_id", "chunk_id").join(own.select("chunk_id", "doc_id", "k", "text"), "chunk_id")
+    places = table(_places(spark, sf_dir))
+    kept = _scoped(spark, sf_dir).withColumn("d", best).where("d <= 3").select("item_id", "chunk_id").join(_chunks(spark, sf_dir).select("chunk_id", "doc_id", "k", "text"), "chunk_id")
     joined = retrieval.in_order(kept, ["item_id", "doc_id"])
-    items = _items(spark, sf_dir)
-    places = items.select("item_id", (F.row_number().over(_by_id()) - 1).alias("r"))
-    every = documents(spark, sf_dir).select("doc_id", "text", F.pmod("doc_id", F.lit(items.count())).alias("r")).join(places, "r")
+    every = documents(spark, sf_dir).select("doc_id", "text").join(places, "doc_id")
     rows = every.join(joined, ["item_id", "doc_id"], "left")
     return rows.select("item_id", "doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.md5(F.coalesce("evidence", F.substring("text", 1, 4000))).alias("evidence"))
 
@@ -182,37 +194,11 @@ def source_order_evidence(spark, sf_dir):
 SELECT item_id, md5(string_agg('[' || rank || '] ' || header || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS block FROM top GROUP BY item_id""")
 def prompt_block(spark, sf_dir):
     """Numbered evidence of each item."""
-    scored, own = _scoped(spark, sf_dir)
-    picked = retrieval.top(scored, ["item_id"], 3).join(own.select("chunk_id", "text"), "chunk_id")
+    picked = retrieval.top(_scoped(spark, sf_dir), ["item_id"], 3).join(_chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
     rows = picked.withColumn("header", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
     return answers.evidence_block(rows, ["item_id"]).select("item_id", F.md5("block").alias("block"))
 
 
-TITLES = rf"""
-early AS (SELECT *, row_number() OVER (PARTITION BY domain, doc_id ORDER BY chunk_id) AS c FROM chunks),
-lines AS (SELECT domain, doc_id, regexp_replace(regexp_replace(l, '\s+', ' ', 'g'), '^[ -]+|[ -]+$', '', 'g') AS line FROM (
-  SELECT domain, doc_id, unnest(list_slice(string_split(text, chr(10)), 1, 20)) AS l FROM early WHERE c <= 4)),
-rated AS (SELECT *, CASE WHEN length(line) BETWEEN 6 AND 80 THEN 1 ELSE 0 END - CASE WHEN length(line) > 100 THEN 3 ELSE 0 END - CASE WHEN regexp_matches(line, '[.!?]$') THEN 1 ELSE 0 END AS score FROM lines WHERE line <> ''),
-titles AS (SELECT domain, doc_id, line AS title FROM (SELECT *, row_number() OVER (PARTITION BY domain, doc_id ORDER BY score DESC, length(line), line) AS r FROM rated) WHERE r = 1)"""
-
-CARDS = rf"""
-kw AS (SELECT domain, doc_id, term, sum(w) AS count FROM (
-  SELECT domain, doc_id, term, 1 AS w FROM (SELECT DISTINCT domain, doc_id, chunk_id, unnest({_terms("text")}) AS term FROM chunks) UNION ALL
-  SELECT domain, doc_id, term, 8 AS w FROM (SELECT DISTINCT domain, doc_id, unnest({_terms("title")}) AS term FROM titles)) GROUP BY domain, doc_id, term),
-kdf AS (SELECT domain, term, count(*) AS df FROM kw GROUP BY domain, term),
-dsize AS (SELECT domain, count(DISTINCT doc_id) AS docs FROM chunks GROUP BY domain),
-kscore AS (SELECT domain, doc_id, term, count, round(ln(1 + count) * ln(1 + (docs + 0.5) / (df + 0.5)) * least(length(term), 6) * CASE WHEN regexp_full_match(term, '{NUMERIC}') THEN 2.5 ELSE 1.0 END, 6) AS score
-  FROM kw JOIN kdf USING (domain, term) JOIN dsize USING (domain)),
-cards AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, doc_id ORDER BY score DESC, length(term) DESC, term) AS rank FROM kscore) WHERE rank <= 180)"""
-
-CARD_TOP = f"""
-csize AS (SELECT domain, doc_id, count(*) AS n FROM cards GROUP BY domain, doc_id),
-tterms AS (SELECT DISTINCT doc_id, unnest({_terms("title")}) AS term FROM titles),
-parts AS (SELECT item_id, doc_id, {BASE} * (1.0 + 2.0 * (n - rank + 1) / n) AS s FROM item_terms JOIN cards USING (term) JOIN csize USING (domain, doc_id) UNION ALL
-  SELECT item_id, doc_id, {BASE} * 12.0 AS s FROM item_terms JOIN tterms USING (term)),
-cscored AS (SELECT item_id, doc_id, round(sum(s), 6) AS score FROM parts GROUP BY item_id, doc_id),
-ctop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM cscored) WHERE rank <= 12)"""
-
 GOLD = f"""gold AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, {NORM.format("text")} AS b FROM benchmark), (SELECT doc_id, {NORM.format("text")} AS t FROM documents) WHERE contains(t, b))"""
 
 
@@ -230,7 +216,8 @@ def doc_cards(spark, sf_dir):
 def _card_top(spark, sf_dir, k=12):
     chunked = _chunks(spark, sf_dir)
     titled = cards.titles(chunked)
-    return cards.score_cards(retrieval.query_terms(_items(spark, sf_dir)).drop("weight"), cards.card_terms(chunked, titled), titled, k)
+    terms = table(cards.card_terms(chunked, titled).select("domain", "doc_id", "term", "rank"))
+    return cards.score_cards(retrieval.query_terms(_items(spark, sf_dir)).drop("weight"), terms, titled, cards.card_facts(chunked, titled), k)
 
 
 @query(f"WITH {CHUNKS}, {TITLES}, {CARDS}, {ITEM_TERMS}, {CARD_TOP} SELECT item_id, doc_id, round(score, 3) AS score, rank FROM ctop")
@@ -240,14 +227,21 @@ def card_topk(spark, sf_dir):
 
 
 def _gold(spark, sf_dir):
-    """Items whose whole passage a document contains: pairs that share a five-word window, then ``contains``."""
+    """Items whose whole passage a document contains. A passage of some words is contained only where its inner words stand as words, so pairs share the
+    longest of them, up to five; passages without an inner word are looked for by a scan of the texts."""
     norm = T.normalize(F.col("text"))
-    words = lambda df, key: df.select(key, norm.alias("t")).withColumn("w", F.split("t", " "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 6, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, 5), " ")))
-    docs = words(documents(spark, sf_dir), "doc_id").select("doc_id", "t", F.explode(F.array_distinct(grams)).alias("g"))
-    # an item's second to sixth word: its first word may continue one of the document's
-    items = words(_items(spark, sf_dir), "item_id").select("item_id", F.col("t").alias("b"), F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("g"))
-    return docs.join(items, "g").where(F.contains("t", "b")).select("item_id", "doc_id").distinct()
+    items = _items(spark, sf_dir).select("item_id", norm.alias("b")).where("b <> ''").withColumn("w", F.split("b", " ")).withColumn("n", F.least(F.size("w") - 2, F.lit(5)))
+    long = items.where("n > 0").select("item_id", "b", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("g"))
+    lengths = [r[0] for r in long.select("n").distinct().collect()]
+    docs = documents(spark, sf_dir).select("doc_id", norm.alias("t")).withColumn("w", F.split("t", " "))
+    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("g")))
+    grams = F.concat(*map(gram, lengths)) if lengths else F.array().cast("array<struct<n:int,g:bigint>>")
+    # only ids and hashes meet; texts of what meets follow
+    met = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("x")).select("doc_id", "x.n", "x.g").join(long.select("item_id", "n", "g"), ["n", "g"]).select("doc_id", "item_id").distinct()
+    found = met.join(long.select("item_id", "b"), "item_id").join(docs.select("doc_id", "t"), "doc_id").where(F.contains("t", "b")).select("item_id", "doc_id")
+    short = items.where("n <= 0").select("item_id", F.col("b").alias("term"))
+    by_scan = retrieval.substring_counts(documents(spark, sf_dir), short, "doc_id").join(short, "term").select("item_id", "doc_id")
+    return found.unionByName(by_scan).distinct()
 
 
 @query(f"WITH {GOLD} SELECT item_id, doc_id FROM gold")
@@ -268,8 +262,7 @@ def evaluation_recall(spark, sf_dir):
 
 
 ROUTES = f"""{OPTIONS},
-items AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS r FROM benchmark),
-cand AS (SELECT item_id, doc_id FROM documents JOIN items ON doc_id % (SELECT count(*) FROM benchmark) = r),
+cand AS (SELECT item_id, doc_id FROM ctop),
 hits AS (SELECT o.item_id, o.option, o.answer_format, c.doc_id, titles.title, list_filter(list_distinct({_terms("option_text")}), lambda x: contains({NORM.format("titles.title")}, x)) AS m
   FROM options o JOIN cand c USING (item_id) LEFT JOIN titles USING (doc_id)),
 rated2 AS (SELECT *, CASE WHEN title IS NULL THEN NULL ELSE coalesce(list_sum(list_transform(m, lambda x: least(length(x), 6))), 0) END AS score, coalesce(list_max(list_transform(m, lambda x: length(x))), 0) AS longest FROM hits),
@@ -277,16 +270,14 @@ nth AS (SELECT *, row_number() OVER (PARTITION BY item_id, option ORDER BY score
 one AS (SELECT item_id, option, max(answer_format) AS f, count(*) AS n, count(*) FILTER (title IS NULL) AS missing, max(score) FILTER (r = 1) AS s1, max(longest) FILTER (r = 1) AS l1, max(doc_id) FILTER (r = 1) AS d1, max(score) FILTER (r = 2) AS s2 FROM nth GROUP BY item_id, option)"""
 
 
-@query(f"""WITH {CHUNKS}, {TITLES}, {ROUTES}
+@query(f"""WITH {CHUNKS}, {TITLES}, {CARDS}, {ITEM_TERMS}, {CARD_TOP}, {ROUTES}
 SELECT item_id, option, reason, CASE WHEN reason LIKE 'high%' THEN 'route' ELSE 'fallback' END AS decision, CASE WHEN reason LIKE 'high%' THEN d1 END AS doc_id FROM (SELECT *, CASE WHEN f <> 'multi' THEN 'non_multi' WHEN n < 2 THEN 'fewer_than_two_documents' WHEN missing > 0 THEN 'missing_document_metadata'
  WHEN l1 < 4 THEN 'longest_match_below_threshold' WHEN s1 < 12 THEN 'title_score_below_threshold' WHEN s1::DOUBLE / greatest(s2, 1) < 3 THEN 'score_ratio_below_threshold' WHEN s1 - s2 < 8 THEN 'score_margin_below_threshold'
  ELSE 'high_confidence_unique_title_match' END AS reason FROM one)""")
 def route_decision(spark, sf_dir):
     """Whether an option of a multi question is routed to one of its item's candidate documents."""
-    items = _items(spark, sf_dir)
-    places = items.select("item_id", (F.row_number().over(_by_id()) - 1).alias("r"))
-    candidates = documents(spark, sf_dir).select("doc_id", F.pmod("doc_id", F.lit(items.count())).alias("r")).join(places, "r").drop("r")
-    return cards.routes(_options(items).drop("question").join(candidates, "item_id"), cards.titles(_chunks(spark, sf_dir)))
+    options = _options(_items(spark, sf_dir)).drop("question").join(_places(spark, sf_dir), "item_id")
+    return cards.routes(options, cards.titles(_chunks(spark, sf_dir)))
 
 
 @query(f"""WITH {SCOPED}, a AS (SELECT item_id, chunk_id FROM ranked WHERE rank <= 5), b AS (SELECT item_id, chunk_id FROM ranked WHERE rank <= 5 OR doc_rank <= 1), req AS (SELECT item_id, chunk_id FROM ranked WHERE doc_rank = 1)
@@ -294,6 +285,5 @@ SELECT item_id, count(*) AS n, count(a.chunk_id) AS n_control, count(b.chunk_id)
 FROM req LEFT JOIN a USING (item_id, chunk_id) LEFT JOIN b USING (item_id, chunk_id) GROUP BY item_id""")
 def chunk_recall_change(spark, sf_dir):
     """Each document's best window is required: found by the best five alone, and with the quota of one."""
-    scored, _ = _scoped(spark, sf_dir)
-    every = retrieval.quota(scored, ["item_id"], 5, 1)
+    every = table(retrieval.quota(_scoped(spark, sf_dir), ["item_id"], 5, 1))
     return evaluation.recall_change(every.where("doc_rank = 1").select("item_id", "chunk_id"), every.where("rank <= 5"), every, ["item_id"])

@@ -59,3 +59,16 @@ def fingerprint(rows: DataFrame, value: Column) -> DataFrame:
 def every_check(checks: list[DataFrame]) -> DataFrame:
     """(all_pass) of unioned (check, n_failed) tables."""
     return reduce(DataFrame.unionByName, checks).agg(F.bool_and(F.col("n_failed") == 0).alias("all_pass"))
+
+
+def failures(rows: DataFrame, key: Column, rules: dict[str, Column]) -> DataFrame:
+    """(key, check): a row for every rule (true: broken) that a row breaks. One pass, whatever the number of rules; a null breaks nothing."""
+    broken = F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in rules.items())))
+    return rows.select(key, F.explode(broken).alias("check"))
+
+
+def gates(one: DataFrame, named: dict[str, Column]) -> DataFrame:
+    """(gate, pass) of named booleans over one row, and ``all``, which passes if all do."""
+    every = [F.struct(F.lit(k).alias("gate"), v.alias("pass")) for k, v in named.items()]
+    together = F.forall(F.array(*named.values()), lambda x: x)
+    return one.select(F.explode(F.array(*every, F.struct(F.lit("all").alias("gate"), together.alias("pass")))).alias("g")).select("g.*")

@@ -50,3 +50,16 @@ def similarity(a: Column, b: Column) -> Column:
 def collapse(values: Column) -> Column:
     """The one value, or ``mixed``."""
     return F.when(F.size(F.collect_set(values)) == 1, F.min(values)).otherwise("mixed")
+
+
+def resume(questions: DataFrame, cached: DataFrame, key: str, version: str) -> DataFrame:
+    """The questions (key, forced) with their cache (has, tokens, failed, version) and the action of a resumed run: the first reason to run anew, or ``reused``."""
+    action = (
+        F.when(F.col("forced"), "forced")
+        .when(F.col("has").isNull(), "not_cached")
+        .when(F.col("failed"), "failed_before")
+        .when(F.col("version") != version, "old_version")
+        .when(F.col("tokens") <= 0, "no_tokens")
+        .otherwise("reused")
+    )
+    return questions.join(cached, key, "left").withColumn("action", action)

@@ -6,6 +6,7 @@ on the order in which Spark adds up.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from lumenry.functions import text as T
 K1, B = 1.2, 0.4
 TOP = 5
 PER_DOC = 2
+#: Distinct terms that are broadcast at once (some 100 bytes each in an automaton).
+BROADCAST_TERMS = 200_000
 ONE_MAX, ALL_MAX, EXTRA_MAX, FLOOR = 1400, 7000, 800, 200
 
 
@@ -46,40 +49,100 @@ def option_weights(questions: DataFrame) -> DataFrame:
 
 
 def token_counts(chunked: DataFrame, terms: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf) of the terms asked for. The join drops other tokens before the counts are shuffled."""
-    tokens = chunked.select("chunk_id", F.explode(T.ascii_terms(T.normalize(F.col("text")))).alias("term"))
-    return tokens.join(terms.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    """(chunk_id, size, term, tf) of the terms asked for. The join drops other tokens before the counts are shuffled."""
+    n = T.normalize(F.col("text"))
+    tokens = chunked.select("chunk_id", n.alias("t")).select("chunk_id", F.length("t").alias("size"), F.explode(T.ascii_terms(F.col("t"))).alias("term"))
+    asked = terms.select("term").distinct()
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
+    return tokens.join(asked, "term", "left_semi").groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
+
+
+class Terms:
+    """Terms as broadcast; a worker builds their automaton once."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.automaton = words, None
+
+    def counts(self, text: str) -> dict[int, int]:
+        """Numbers of non-overlapping places of each term that occurs, in one pass over the text."""
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for k, w in enumerate(self.words):
+                self.automaton.add_word(w, (k, len(w)))
+            self.automaton.make_automaton()
+        found: dict[int, int] = {}
+        free: dict[int, int] = {}
+        for end, (k, n) in self.automaton.iter(text):
+            if end - n + 1 >= free.get(k, 0):
+                free[k] = end + 1
+                found[k] = found.get(k, 0) + 1
+        return found
+
+
+def substring_counts(texts: DataFrame, terms: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, term, tf) with tf the number of non-overlapping places where the term is a substring of the normalised ``text``.
+
+    Every text is scanned once by an automaton of the terms, in Arrow batches; only hits leave a task. Terms are broadcast, in parts of
+    BROADCAST_TERMS, one scan each."""
+    spark = texts.sparkSession
+    kind = texts.select(key).schema[0].dataType.simpleString()
+    own = texts.select(key, T.normalize(F.col("text")).alias("t")).where("t is not null")
+    asked = terms.select("term").distinct()
+    parts = max(1, -(-asked.count() // BROADCAST_TERMS))
+
+    def scan(words: list[str]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(Terms(words))
+
+        def run(batches):
+            for batch in batches:
+                rows = [(i, k, n) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, n in shared.value.counts(t).items()]
+                names = shared.value.words
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], batch.schema[0].type), pa.array([names[r[1]] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=[key, "term", "tf"]
+                )
+
+        return own.mapInArrow(run, f"{key} {kind}, term string, tf bigint")
+
+    found = None
+    for p in range(parts):
+        words = [r[0] for r in asked.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == p).collect()]
+        if words:
+            found = scan(words) if found is None else found.unionByName(scan(words))
+    return own.select(key, F.lit("").alias("term"), F.lit(0).cast("bigint").alias("tf")).limit(0) if found is None else found
+
+
+def bm25(counts: DataFrame, weights: DataFrame, stats: DataFrame, query: list[str]) -> DataFrame:
+    """Scores of (query, chunk) over the whole corpus. counts: (chunk_id, size, term, tf), read twice; weights: (query, term, weight); stats: one row (n, mean)."""
+    df = counts.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
+    rows = counts.join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    rows = rows.select("chunk_id", "term", score_part(F.lit(1.0)).alias("part")).join(weights, "term")
+    return rows.groupBy(*query, "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("part")), 4).alias("score"), F.count("*").alias("n_matched"))
+
+
+def score_part(weight: Column) -> Column:
+    """A term's part of the score, from columns n, mean, df, tf, size."""
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
 
 
-def substring_counts(chunked: DataFrame, terms: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf) with tf the number of non-overlapping places where the term is a substring.
+def candidate_chunks(chunked: DataFrame, places: DataFrame) -> DataFrame:
+    """Chunks of each item's candidate documents (item_id, doc_id), with t, size, and the item's n and mean size."""
+    item = Window.partitionBy("item_id")
+    own = chunked.join(places, "doc_id").withColumn("t", T.normalize(F.col("text"))).withColumn("size", F.length("t"))
+    return own.withColumn("n", F.count("*").over(item)).withColumn("mean", F.avg("size").over(item))
 
-    A term is a substring only where its first three characters are one, so distinct three-grams of chunks
-    meet those of terms in an equi-join, and only such pairs are looked at. No cross join."""
-    n = T.normalize(F.col("text"))
-    texts = chunked.select("chunk_id", n.alias("t"))
-    grams = texts.select("chunk_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(3))))).alias("g"))
-    keyed = terms.select("term").distinct().withColumn("g", F.substring("term", 1, 3))
-    long, short = keyed.where("length(term) >= 3"), keyed.where("length(term) = 2")
-    pairs = grams.join(long, "g").where(F.contains("t", "term"))
-    two = grams.withColumn("g", F.substring("g", 1, 2)).dropDuplicates(["chunk_id", "g"]).join(short, "g")
-    tf = (F.length("t") - F.length(F.replace("t", "term", F.lit("")))) / F.length("term")
-    return pairs.unionByName(two).select("chunk_id", "term", tf.cast("bigint").alias("tf"))
-
-
-def bm25(counts: DataFrame, weights: DataFrame, sizes: DataFrame, scope: list[str], query: list[str], length_norm: bool = True) -> DataFrame:
-    """Scores of (query, chunk). ``scope``: columns of a candidate set, over which N, the mean length and df are taken.
-
-    counts: (scope, chunk_id, term, tf); weights: (scope or query columns, term, weight); sizes: (scope, chunk_id, size).
-    """
-    stats = sizes.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("size").alias("mean")) if scope else sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    df = counts.groupBy(*scope, "term").agg(F.countDistinct("chunk_id").alias("df"))
-    rows = counts.join(weights, [*[c for c in scope if c in weights.columns], "term"]).join(df, [*scope, "term"]).join(sizes, [*scope, "chunk_id"])
-    rows = rows.join(stats, scope) if scope else rows.crossJoin(F.broadcast(stats))  # one row
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = (1 - B + B * F.col("size") / F.col("mean")) if length_norm else F.lit(1.0)
-    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    return rows.groupBy(*query, "chunk_id").agg(F.round(F.sum(part), 4).alias("score"), F.count("*").alias("n_matched"))
+
+def term_hits(own: DataFrame, terms: DataFrame) -> DataFrame:
+    """Candidate chunks' hits of their item's distinct terms as substrings, with tf and the item's df. A row's terms are counted
+    inside the row; only hits are exploded."""
+    listed = terms.select("item_id", "term").distinct().groupBy("item_id").agg(F.collect_list("term").alias("terms"))
+    tf = lambda t: ((F.length("t") - F.length(F.replace(F.col("t"), t, F.lit("")))) / F.length(t)).cast("bigint")
+    counted = F.filter(F.transform("terms", lambda t: F.struct(t.alias("term"), tf(t).alias("tf"))), lambda x: x["tf"] > 0)
+    keep = [c for c in own.columns if c not in ("t", "text")]
+    hits = own.join(listed, "item_id").select(*keep, F.explode(counted).alias("x")).select(*keep, "x.*")
+    return hits.withColumn("df", F.count("*").over(Window.partitionBy("item_id", "term")))
 
 
 def top(scored: DataFrame, query: list[str], k: int | Column = TOP) -> DataFrame:
@@ -118,7 +181,7 @@ def cut_around(text: Column, terms: Column, width: Column) -> Column:
     return F.when(F.length(text) <= width, text).otherwise(text.substr(start, width.cast("int")))
 
 
-def in_order(selected: DataFrame, query: list[str], fallback: DataFrame | None = None) -> DataFrame:
+def in_order(selected: DataFrame, query: list[str]) -> DataFrame:
     """The selected chunks' texts joined in the order of the document; (query, text, n)."""
     ordered = F.array_sort(F.collect_list(F.struct("k", "text")))
     return selected.groupBy(*query).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n...\n").alias("evidence"), F.count("*").alias("n"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenry.sources.shared import shared_dir
+
 
 def deduplicated(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Calls by event time, each id once among those that arrive within the delay. State is bounded by the watermark."""
@@ -18,7 +19,7 @@ def daily_usage(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFr
     """(event_type, day, n, tokens) of the log at ``path``, read as a stream until its present end.
 
     The de-duplicated calls go to a table in the shared folder, with checkpoints, so a restart goes on where it was."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenry-stream-")
+    base = shared_dir(spark)
     run = f"{base.rstrip('/')}/trace-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     # a log is a folder of files; the stream's source takes this one by its name
