@@ -6,11 +6,15 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that go to a Python worker at once where a table is written.
+ARROW_ROWS = 1000
+
 #: Byte table: A-Z to a-z; every ASCII byte that is neither digit nor letter to a space.
 #: UTF-8 bytes from 0x80 up stay, so non-ASCII characters belong to words.
 WORD_TABLE = bytes(
@@ -38,6 +42,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[di
     def run(batches):
         for columns in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # workers live on after the task
 
     return df.mapInArrow(run, schema)
 
@@ -53,9 +58,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this holds, at most ARROW_ROWS rows go to a Python worker at once: whole texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Cut the lineage: write as Parquet in the shared folder and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lumenry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

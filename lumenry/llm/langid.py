@@ -2,7 +2,7 @@
 
 Features are hashed 1- to 3-grams of code points of the lower-cased whole text. Document frequencies are
 counted over every training document. Weights are fitted by follow-the-regularised-leader with elastic-net
-penalties on a bounded sample of labelled rows (``SAMPLE_ROWS`` a language, documented bound), in shards whose weights are
+penalties on a bounded sample of distinct labelled texts (``SAMPLE_ROWS`` a language, documented bound; a text's copies count once), in shards whose weights are
 averaged; a temperature is then fitted on sample rows kept out of the fit.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a corpus without labelled
@@ -12,7 +12,6 @@ columns change nothing but the counts.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,7 @@ from .common import crc_bucket, map_rows
 
 BITS = 13
 SIZE = 1 << BITS
-#: Labelled rows a language that the classifier is fitted on, at most.
+#: Distinct labelled texts a language that the classifier is fitted on, in expectation; a language of fewer gives all of its.
 SAMPLE_ROWS = 1500
 SHARDS = 8
 EPOCHS = 3
@@ -33,7 +32,10 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.0005
 STEP = 1 << 18
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a code point is of Unicode's category L."""
+    return any(map(str.isalpha, text))
 
 
 def counts(text: str) -> np.ndarray:
@@ -111,7 +113,7 @@ class Model:
         return x @ self.weights[i] + 0.1 * self.weights[SIZE]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         p = softmax(self.logits(counts(text)) / self.temperature)
         k = int(p.argmax())
@@ -139,18 +141,18 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS) -> Model:
     """Learn from ``text`` and non-null ``lang`` of the given rows."""
     labelled = docs.where("lang is not null and text is not null").select("text", "lang")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
+    languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     if not languages:
         return Model([], np.zeros(SIZE), np.zeros((SIZE + 1, 1)), 1.0)
     df, n = document_frequencies(labelled.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1
-    # a row is in the sample by the hash of its text; the shares make the bound hold in expectation
+    # a text is in the sample by its hash; the shares make the bound hold in expectation, and copies are one text
+    texts = {r[0]: r[1] for r in labelled.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count().collect()}
     share = F.lit(0.0)
-    for k, v in sizes.items():
+    for k, v in texts.items():
         share = F.when(F.col("lang") == k, min(1.0, sample_rows / v)).otherwise(share)
     drawn = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_003)) / 1_000_003.0 < share
-    rows = labelled.where(drawn).withColumn("shard", F.pmod(F.xxhash64("text", F.lit(2)), F.lit(shards + 1)).cast("int"))
+    rows = labelled.where(drawn).distinct().withColumn("shard", F.pmod(F.xxhash64("text", F.lit(2)), F.lit(shards + 1)).cast("int"))
     number = {k: i for i, k in enumerate(languages)}
     context = docs.sparkSession.sparkContext.broadcast((idf, number))
 

@@ -12,8 +12,8 @@ Candidates of edit similarity ``SIMILARITY`` or more are linked: 1 - edits / lon
 the longer line has over ``LONG`` characters (its lengths must allow the similarity in characters too). Linked nodes form groups, and of each
 group's occurrences the first, by (doc_id, hash of the text, line number), stays.
 
-No group's pairs are all emitted: members of buckets of over ``SMALL`` lines meet one lead each in a pass, members of a bucket's largest component need
-no lead, and what ``PASSES`` passes leave open is compared inside arrays of ``BLOCK`` lines, every pair of blocks a row; only links leave.
+No group's pairs are all emitted: members of buckets of over ``SMALL`` lines meet one lead each, members of a bucket's largest component
+need no more, and what is open then is compared inside arrays of ``BLOCK`` lines, every pair of blocks a row; only links leave.
 The components are those of all links among candidates.
 
 Defined results: null texts pass unchanged and have no lines; blank lines (no letter or digit) are never dropped; a row repeated with
@@ -34,9 +34,9 @@ from .graph import components
 BLOCKS, MATCHING = 5, 2
 SIMILARITY = 0.8
 #: Characters beyond which similarity is counted in words.
-LONG = 400
-#: Buckets of up to so many lines are compared pair by pair; in larger ones, passes with one lead after the first, and lines in an array after them.
-SMALL, PASSES, BLOCK = 16, 1, 64
+LONG = 128
+#: Buckets of up to so many lines are compared pair by pair; in larger ones, lines meet one lead, and what is open then is compared in arrays of so many lines.
+SMALL, BLOCK = 16, 64
 #: Rows that may be broadcast (lines or documents: a few numbers each); beyond, Spark shuffles.
 BROADCAST_ROWS = 300_000
 BROADCAST_POSITIONS = 3_000_000
@@ -45,7 +45,7 @@ BROADCAST_IDS = 1_000_000
 LANE = 64 // BLOCKS
 BITS = 64 - LANE * (BLOCKS - 1)
 MOST_WORDS = (1 << (LANE - 1)) - 1
-LONG_LINE = 2 * MOST_WORDS
+LONG_LINE = MOST_WORDS
 _ONES = sum(1 << (LANE * k) for k in range(BLOCKS))
 _PLACE = ("doc_id", "h", "pos")
 _OWN = (*_PLACE, "k1", "k2")
@@ -56,24 +56,18 @@ _MARKS = "".join("\\" + chr(c) for c in (*range(32, 48), *range(58, 65), *range(
 _BETWEEN = rf"[{_MARKS}\t\r\f\x0b\x85\xa0\u2000-\u206f\u3000-\u303f]++"
 
 
-def normal_form(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), _BETWEEN, " "))
-
-
-def _split(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, line) of all lines. Hashes of texts are taken before the split, once a text."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
-    return own.select("doc_id", "h", F.posexplode("lines").alias("pos", "line"))
+def words_of(line: Column) -> Column:
+    """A line's normal form: its words in lower case."""
+    return F.array_remove(F.split(F.lower(line), _BETWEEN), "")
 
 
 def lines(docs: DataFrame, least: int = 0) -> DataFrame:
-    """(doc_id, h, pos, norm): every line that is not blank (and has ``least`` characters), h the hash of the whole text."""
-    rows = _split(docs).where(F.length("line") >= least) if least else _split(docs)
-    return rows.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "h", "pos", normal_form(F.col("line")).alias("norm"))
-
-
-def _hashes_of(norm: Column) -> list[Column]:
-    return [F.xxhash64(norm).alias("k1"), F.xxhash64(norm, F.lit(1)).alias("k2")]
+    """(doc_id, h, pos, words): every line that is not blank (and has ``least`` characters), h the hash of the whole text."""
+    # hashes of texts are taken before the split, once a text
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
+    rows = own.select("doc_id", "h", F.posexplode("lines").alias("pos", "line"))
+    rows = rows.where(F.length("line") >= least) if least else rows
+    return rows.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "h", "pos", words_of(F.col("line")).alias("words"))
 
 
 def _block_of(x: Column) -> Column:
@@ -115,17 +109,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
     Words are exploded and added up by line in generated code: each adds its bits to its block's lane of sixteen numbers. A line's words are
     in one task, so the exchange has a row a line.
     """
-    own = lines(docs).select(*_PLACE, *_hashes_of(F.col("norm")), "norm")
-    numbered = own.where(F.length("norm") < LONG_LINE).withColumn("line", F.monotonically_increasing_id())  # before words are exploded
-    word = numbered.select("line", *_OWN, F.explode(F.split("norm", " ")).alias("w")).select("line", *_OWN, F.xxhash64("w").alias("x"))
+    hashes = [F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(1)).alias("k2")]
+    own = lines(docs).where(F.size("words") <= LONG_LINE).select(*_PLACE, *hashes, "words")
+    numbered = own.withColumn("line", F.monotonically_increasing_id())  # before words are exploded
+    word = numbered.select("line", *_OWN, F.explode("words").alias("w")).select("line", *_OWN, F.xxhash64("w").alias("x"))
     word = word.withColumn("m", F.call_function("shiftleft", F.lit(1).cast("long"), _block_of(F.col("x")) * LANE))
     bits = (F.sum(F.shiftright("x", i).bitwiseAND(F.col("m"))).alias(f"c{i}") for i in range(BITS))
     sums = word.groupBy("line").agg(*(F.max(c).alias(c) for c in _OWN), F.sum("m").alias("n"), *bits)
     short = sums.select(*_OWN, *_from_lanes())
     # the same for long lines, a row a block
-    # lower-casing may make two characters of one
-    rest = lines(docs.where(F.length("text") >= LONG_LINE // 2), LONG_LINE // 2).where(F.length("norm") >= LONG_LINE)
-    rest = rest.select(*_PLACE, *_hashes_of(F.col("norm")), F.explode(F.split("norm", " ")).alias("w")).select(*_OWN, F.xxhash64("w").alias("x"))
+    least = 2 * LONG_LINE  # characters that more words have
+    rest = lines(docs.where((F.length("text") >= least) & F.col("text").rlike(rf"(?:^|\n)[^\n]{{{least}}}")), least).where(F.size("words") > LONG_LINE)
+    rest = rest.select(*_PLACE, *hashes, F.explode("words").alias("w")).select(*_OWN, F.xxhash64("w").alias("x"))
     rest = rest.withColumn("k", _block_of(F.col("x"))).withColumn("m", F.call_function("shiftright", F.col("x"), F.col("k") * LANE))
     counts = rest.groupBy(*_OWN, "k").agg(F.count("*").alias("n"), *(F.sum(F.shiftright("m", i).bitwiseAND(F.lit(1))).alias(f"c{i}") for i in range(BITS)))
     block = F.shiftleft(F.least("n", F.lit(1 << 31)), BITS)
@@ -153,17 +148,19 @@ def _small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
 
 
 def _texts(docs: DataFrame, every: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, size, norm, codes) of lines by k1: norm where it may be compared in characters, codes where in words (a character a word)."""
+    """(id, size, norm, codes) of lines by k1: norm where it may be compared in characters, codes where in words (a character a word).
+
+    Texts meet a row a document, with the places of its wanted lines."""
     first = every.join(_small(ids), F.col("k1") == F.col("id"), "left_semi").groupBy("k1").agg(F.min(F.struct(*_PLACE)).alias("f"))
     wanted = table(first.select(F.col("k1").alias("id"), F.col("f.doc_id").alias("w_id"), F.col("f.h").alias("w_h"), F.col("f.pos").alias("w_pos")))
-    small = wanted.count() <= BROADCAST_ROWS
-    held = wanted.groupBy("w_id", "w_h").agg(F.count("*"))
+    small = wanted.count() <= BROADCAST_IDS
+    held = wanted.groupBy("w_id", "w_h").agg(F.collect_list(F.struct("id", "w_pos")).alias("places"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))
-    rows = source.join(F.broadcast(held) if small else held, on, "left_semi").select("doc_id", "h", F.split("text", "\n").alias("lines"))
-    rows = rows.select("doc_id", "h", F.posexplode("lines").alias("pos", "line"))
-    found = rows.join(F.broadcast(wanted) if small else wanted, on & (F.col("pos") == F.col("w_pos"))).select("id", normal_form(F.col("line")).alias("norm"))
-    one = F.decode(F.unhex(F.array_join(F.transform(F.split("norm", " "), lambda w: F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x3FFF)) + 0x4E00)), "")), "UTF-16BE")
+    rows = source.join(F.broadcast(held) if small else held, on).select("places", F.split("text", "\n").alias("lines"))
+    found = rows.select(F.explode(F.transform("places", lambda p: F.struct(p["id"].alias("id"), F.element_at("lines", p["w_pos"] + 1).alias("line")))).alias("x"))
+    found = found.select("x.id", words_of(F.col("x.line")).alias("words")).withColumn("norm", F.array_join("words", " "))
+    one = F.decode(F.unhex(F.array_join(F.transform("words", lambda w: F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x3FFF)) + 0x4E00)), "")), "UTF-16BE")
     size = F.length("norm")
     found = found.select("id", size.alias("size"), F.when(size <= LONG, F.col("norm")).alias("norm"), F.when(size >= SIMILARITY * LONG, one).alias("codes"))
     return table(found.dropDuplicates(["id"]))
@@ -191,13 +188,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """(key, id, served, c, minor, n, active): members of buckets that still have pairs to be compared. c is the component; a minor member is
-    outside of the bucket's largest component, and active if it has not been a lead. Every open pair has an active member."""
-    c = F.coalesce("component", "id")
-    marked = members.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "served", c.alias("c"))
+    """(key, id, c, active, n, n_active): members of buckets that still have pairs to be compared. c is the component; active are members
+    outside of the bucket's largest component, but for the lead. Every open pair has an active member."""
+    marked = members.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "lead", F.coalesce("component", "id").alias("c"))
     major = marked.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
-    rows = marked.join(major, "key").withColumn("minor", F.col("c") != F.col("m.c")).withColumn("active", F.col("minor") & ~F.col("served"))
-    left = rows.where("active").groupBy("key").agg(F.count("*").alias("n_active"), F.min("id").alias("lead"))
+    rows = marked.join(major, "key").withColumn("active", (F.col("c") != F.col("m.c")) & ~F.col("lead"))
+    left = rows.where("active").groupBy("key").agg(F.count("*").alias("n_active"))
     return table(rows.drop("m").join(left, "key"))
 
 
@@ -218,34 +214,25 @@ def _in_blocks(open_: DataFrame, texts: DataFrame, similarity: float, block: int
     return ours.join(theirs, ["key", "i", "j"]).select(F.explode(F.flatten(F.transform("xs", partners))).alias("e")).select("e.u", "e.v")
 
 
-def linked(docs: DataFrame, every: DataFrame, unique: DataFrame, similarity: float = SIMILARITY, passes: int = PASSES, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+def linked(docs: DataFrame, every: DataFrame, unique: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, small: int = SMALL) -> DataFrame:
     """(node, component) of all nodes (by k1) with a link."""
     rows = unique.select(F.col("k1").alias("id"), F.explode(keys()).alias("key")).where("key is not null")
     shared = table(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").drop("hi"))
     members = table(rows.join(_small(shared), "key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     sized = table(members.join(_small(sizes), "key"))
-    few, members = sized.where(F.col("n") <= small), sized.where(F.col("n") > small).withColumn("served", F.col("id") == F.col("lo"))
+    few, members = sized.where(F.col("n") <= small), sized.where(F.col("n") > small).withColumn("lead", F.col("id") == F.col("lo"))
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    pairs = table(pairs.unionByName(members.where("not served").select(F.col("lo").alias("a"), F.col("id").alias("b"))).distinct())
-    members = members.select("key", "id", "served")
+    pairs = table(pairs.unionByName(members.where("not lead").select(F.col("lo").alias("a"), F.col("id").alias("b"))).distinct())
+    members = members.select("key", "id", "lead")
     texts = _texts(docs, every, table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
     links = _verified(pairs, texts, similarity)
     parts = components(links)
-    for left in range(passes, -1, -1):
-        open_ = _open(members, parts)
-        if not open_.head(1):
-            break
-        if left:
-            lead = open_.where("id = lead").select("key", F.col("c").alias("c_lead"))
-            pairs = open_.join(lead, "key").where("c <> c_lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-            more = _verified(pairs, texts, similarity)
-            members = open_.select("key", "id", (F.col("served") | (F.col("id") == F.col("lead"))).alias("served"))
-        else:
-            more = table(_in_blocks(open_, texts, similarity, block))
+    open_ = _open(members, parts)
+    if open_.head(1):
+        more = table(_in_blocks(open_, texts, similarity, block))
         if more.head(1):
-            links = links.unionByName(more)
-            parts = components(links)
+            parts = components(links.unionByName(more))
     return parts
 
 

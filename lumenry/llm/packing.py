@@ -15,6 +15,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,12 @@ from .common import map_rows, table
 
 CAPACITY = 4096
 END_ID = 1
-#: Words a worker keeps with their ids; the cache starts anew beyond it.
-CACHE_WORDS = 600_000
+#: Words (and parts of words) that a worker keeps with their ids, some 70 MB; beyond it, the half goes that came last.
+CACHE_WORDS = 250_000
+#: Characters longer than this are not kept.
+CACHE_CHARS = 64
+#: Texts turned to Python strings at once.
+TEXTS = 256
 #: Tokens dealt to a packing partition.
 PARTITION_TOKENS = 8_000_000
 #: Pieces dealt to a packing partition.
@@ -68,7 +73,9 @@ class Encoder:
         ids = self.parts.get(part)
         if ids is None:
             tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes_shown))
-            ids = self.parts[part] = np.array([t.id for t in tokens], "<u4").tobytes()
+            ids = np.array([t.id for t in tokens], "<u4").tobytes()
+            if len(part) <= CACHE_CHARS:
+                self.parts[part] = ids
         return ids
 
     def chunk(self, chunk: str) -> bytes:
@@ -79,9 +86,11 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if _UNUSUAL.search(text):
             return self.whole(text)
-        if len(self.chunks) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
-            self.chunks.clear()
-            self.parts.clear()
+        for kept in (self.chunks, self.parts):
+            if len(kept) > CACHE_WORDS:
+                # what came early is what is frequent
+                for k in list(kept)[CACHE_WORDS // 2 :]:
+                    del kept[k]
         chunks, get = text.split(), self.chunks.get
         ids = list(map(get, chunks))
         if None in ids:
@@ -90,19 +99,17 @@ class Encoder:
                     c = chunks[i]
                     x = get(c)
                     if x is None:
-                        x = self.chunks[c] = self.chunk(c)
+                        x = self.chunk(c)
+                        if len(c) <= CACHE_CHARS:
+                            self.chunks[c] = x
                     ids[i] = x
         return b"".join(ids)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder a worker process, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -112,7 +119,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
     def run(batches):
         encode = encoder(path).encode
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "row")}
             for doc_id, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = (encode(text) if text else b"") + end
