@@ -30,7 +30,7 @@ def lenient_judgments(spark, sf_dir):
 
 
 @query(r"""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN a AND NOT b THEN 'true' WHEN b AND NOT a THEN 'false' ELSE 'uncertain' END AS verdict FROM (
-  SELECT regexp_matches(lower(text), '\b(?:the|les)\b') AS a, regexp_matches(lower(text), '\b(?:der|las)\b') AS b FROM conversations)) GROUP BY verdict""")
+  SELECT regexp_matches(lower(text), '(^|[^0-9a-z_])(the|les)([^0-9a-z_]|$)') AS a, regexp_matches(lower(text), '(^|[^0-9a-z_])(der|las)([^0-9a-z_]|$)') AS b FROM conversations)) GROUP BY verdict""")
 def word_verdicts(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations")
     return rows.select(parsing.word_verdict(F.col("text"), ("the", "les"), ("der", "las")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))

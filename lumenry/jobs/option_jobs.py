@@ -129,8 +129,8 @@ def recall_by_domain(spark, sf_dir):
     return _curve(spark, sf_dir)
 
 
-@query(f"""WITH {CURVE}, t AS (SELECT unnest([0.25, 0.5, 0.9])::DOUBLE AS threshold), per AS (SELECT threshold, k, bool_or(domain IS NULL AND complete >= threshold) AS overall, bool_and(domain IS NULL OR complete >= threshold) AS each FROM curve, t GROUP BY threshold, k)
-SELECT threshold, min(k) FILTER (overall) AS k_overall, min(k) FILTER (each) AS k_all_domains FROM per GROUP BY threshold""")
+@query(f"""WITH {CURVE}, t AS (SELECT unnest([0.25, 0.5, 0.9])::DOUBLE AS threshold), reached AS (SELECT threshold, k, bool_or(domain IS NULL AND complete >= threshold) AS overall, bool_and(domain IS NULL OR complete >= threshold) AS each FROM curve, t GROUP BY threshold, k)
+SELECT threshold, min(k) FILTER (overall) AS k_overall, min(k) FILTER (each) AS k_all_domains FROM reached GROUP BY threshold""")
 def smallest_k(spark, sf_dir):
     """The smallest number of documents that reaches a recall, overall and in every language."""
     return cards.smallest_k(table(_curve(spark, sf_dir)), (0.25, 0.5, 0.9))

@@ -65,3 +65,21 @@ def evidence_block(evidence: DataFrame, query: list[str]) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("rank", "header", "text")))
     lines = F.transform(ordered, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["header"], F.lit("\n"), x["text"]))
     return evidence.groupBy(*query).agg(F.array_join(lines, "\n\n").alias("block"))
+
+
+def by_verdict(rows: DataFrame) -> DataFrame:
+    """True-or-false answers of rows with a verdict: A if true, B if false, else A with low confidence."""
+    known = F.col("verdict").isin("true", "false")
+    return rows.withColumn("answer", F.when(F.col("verdict") == "false", "B").otherwise("A")).withColumn("low_confidence", ~F.coalesce(known, F.lit(False)))
+
+
+def verdict_options(verdict: Column) -> Column:
+    """A verdict as the judgments of options A and B."""
+    one = lambda yes, no: F.when(verdict == yes, "support").when(verdict == no, "refute").otherwise("insufficient")
+    return F.array(F.struct(F.lit("A").alias("option"), one("true", "false").alias("judgment")), F.struct(F.lit("B").alias("option"), one("false", "true").alias("judgment")))
+
+
+def messages(instruction: str, doc_ids: Column, question: Column) -> Column:
+    """The two messages of a call: the instruction, and the documents' ordinals in question order before the question."""
+    bound = F.array_join(F.transform(doc_ids, lambda d, i: F.concat(F.lit("Document "), (i + 1).cast("string"), F.lit(" = "), d.cast("string"))), "\n")
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(instruction).alias("content")), F.struct(F.lit("user").alias("role"), F.concat(bound, F.lit("\n"), question).alias("content")))

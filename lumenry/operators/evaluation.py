@@ -107,3 +107,41 @@ def layer_counts(classified: DataFrame) -> DataFrame:
     """(layer, n) for every layer, zero where none. The grouped side has a row a layer at most."""
     every = classified.sparkSession.createDataFrame([(x,) for x in LAYERS], "layer string")
     return every.join(classified.groupBy("layer").agg(F.count("*").alias("n")), "layer", "left").select("layer", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def by_parts(scored: DataFrame, score: str, key: str, parts: int, names: tuple[str, ...], column: str) -> DataFrame:
+    """(column, n, accuracy) of equal parts by rank of (score, key), the last with the remainder.
+
+    Only the borders are looked for: distinct scores are counted, their running counts give the score that holds a border, and ties at
+    a border are ranked by key."""
+    counts = scored.groupBy(score).agg(F.count("*").alias("n"))
+    total = scored.count()
+    size = total // parts
+    # running counts over ranges of scores: a first pass counts ranges, a second one the scores of the ranges that hold a border
+    edges = [size * (i + 1) for i in range(parts - 1)]
+    low, high = counts.agg(F.min(score), F.max(score)).first() if total else (0, 1)
+    width = (float(high) - float(low)) / 1024 or 1.0
+    ranged = counts.withColumn("r", F.floor((F.col(score) - F.lit(float(low))) / width))
+    sums = {r["r"]: r["n"] for r in ranged.groupBy("r").agg(F.sum("n").alias("n")).collect()}  # 1,025 rows at most
+    part = F.lit(0)
+    for edge in edges:
+        before = 0
+        for r in sorted(sums):
+            if before + sums[r] >= edge:
+                break
+            before += sums[r]
+        if not edge:
+            continue
+        inside = scored.where(F.floor((F.col(score) - F.lit(float(low))) / width) == r)
+        cut = inside.orderBy(score, key).limit(edge - before).agg(F.max(F.struct(score, key)).alias("x")).first()["x"]
+        part = part + F.when((F.col(score) > cut[0]) | ((F.col(score) == cut[0]) & (F.col(key) > cut[1])), 1).otherwise(0)
+    label = F.element_at(F.array(*map(F.lit, names)), part + 1)
+    return scored.groupBy(label.alias(column)).agg(F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"))
+
+
+def upper_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, upper_median): the middle value, the upper one of two, from counts of distinct values."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("c"))
+    order = Window.partitionBy(key).orderBy(value)
+    ranked = counts.withColumn("until", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
+    return ranked.groupBy(key).agg(F.max("n").alias("n"), F.min(F.when(F.col("until") > F.floor(F.col("n") / 2), F.col(value))).alias("upper_median"))

@@ -29,7 +29,8 @@ def strict_error(text: Column, keys: tuple[str, ...]) -> Column:
 
 def word_verdict(text: Column, yes: tuple[str, ...], no: tuple[str, ...]) -> Column:
     """``true``, ``false`` or ``uncertain`` by the words in a text; both or none is uncertain."""
-    has = lambda words: F.lower(text).rlike(r"\b(?:" + "|".join(words) + r")\b")
+    # a word's borders are ASCII's, as in other engines: Java's own take further letters for parts of words
+    has = lambda words: F.lower(text).rlike(r"(?<![0-9A-Za-z_])(?:" + "|".join(words) + r")(?![0-9A-Za-z_])")
     return F.when(has(yes) & ~has(no), "true").when(has(no) & ~has(yes), "false").otherwise("uncertain")
 
 
@@ -43,3 +44,17 @@ def id_list(lines: DataFrame, column: str) -> DataFrame:
     bare = F.regexp_replace(F.col(column), r"#[^\n]*", "")
     ids = lines.select(F.explode(F.split(bare, r"[,\s]+")).alias("id")).where("id <> ''")
     return ids.groupBy("id").agg(F.count("*").alias("n"))
+
+
+def usage(text: Column) -> Column:
+    """A struct (prompt, completion, total) of a response in JSON; a missing total is the sum, a missing completion 0."""
+    u = F.from_json(text, "usage struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint>")["usage"]
+    p, c = u["prompt_tokens"], F.coalesce(u["completion_tokens"], F.lit(0))
+    return F.struct(p.alias("prompt"), c.alias("completion"), F.coalesce(u["total_tokens"], F.coalesce(p, F.lit(0)) + c).alias("total"))
+
+
+def self_check(text: Column) -> Column:
+    """A struct (ok, missing) of a self-check in JSON; unreadable ones are ok and miss nothing."""
+    got = F.from_json(text, "ok boolean, missing array<string>")
+    none = F.array().cast("array<string>")
+    return F.struct(F.coalesce(got["ok"], F.lit(True)).alias("ok"), F.coalesce(got["missing"], none).alias("missing"))

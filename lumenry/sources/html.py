@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenry.functions import text as T
+from lumenry.operators import chunking
+
 # Elements left out, elements that are blocks, blocks that set the section.
 SKIPPED = frozenset(("script", "style", "noscript", "nav", "header", "footer", "iframe"))
 BLOCKS = frozenset(("h1", "h2", "h3", "h4", "p", "li", "td", "pre", "blockquote"))
@@ -52,7 +55,7 @@ class _Blocks(HTMLParser):
 
     def _close(self, block):
         tag, data, at = block
-        text = " ".join("".join(data).split())
+        text = " ".join(" ".join(data).split())  # pieces of inner elements are words apart
         if tag in SECTIONS:
             self.section = text or self.section
         elif text:
@@ -88,10 +91,13 @@ def pack(blocks: list[dict], width: int = WIDTH) -> list[dict]:
 
 
 def packed_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, k, section, text, char_count): a row for each packed block of every page."""
+    """(page_id, k, w, section, text, char_count): a row for each window of every packed block of every page."""
     @F.pandas_udf(SCHEMA)
     def blocks_of(html: pd.Series) -> pd.Series:
         return html.map(lambda x: pack(parse(x)))
 
-    rows = pages.select("page_id", F.posexplode(blocks_of("html")).alias("k", "b"))
-    return rows.select("page_id", "k", "b.section", "b.text", F.length("b.text").alias("char_count"))
+    rows = pages.select("page_id", F.posexplode(blocks_of("html")).alias("k", "b")).select("page_id", "k", "b.section", F.col("b.text").alias("t"))
+    # a block over the width is cut into windows
+    cut = F.transform(chunking.windows(F.col("t")), lambda s: F.struct(s.alias("start"), T.strip(F.col("t").substr(s + 1, F.lit(WIDTH))).alias("text")))
+    rows = rows.select("page_id", "k", "section", F.posexplode(cut).alias("w", "x")).where("x.text <> ''")
+    return rows.select("page_id", "k", "w", "section", "x.text", F.length("x.text").alias("char_count"))
