@@ -62,11 +62,11 @@ def words_of(line: Column) -> Column:
 
 
 def lines(docs: DataFrame, least: int = 0) -> DataFrame:
-    """(doc_id, h, pos, words): every line that is not blank (and has ``least`` characters), h the hash of the whole text."""
+    """(doc_id, h, pos, words): every line that is not blank (and has ``least`` bytes), h the hash of the whole text."""
     # hashes of texts are taken before the split, once a text
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
     rows = own.select("doc_id", "h", F.posexplode("lines").alias("pos", "line"))
-    rows = rows.where(F.length("line") >= least) if least else rows
+    rows = rows.where(F.octet_length("line") >= least) if least else rows
     return rows.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "h", "pos", words_of(F.col("line")).alias("words"))
 
 
@@ -118,8 +118,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     sums = word.groupBy("line").agg(*(F.max(c).alias(c) for c in _OWN), F.sum("m").alias("n"), *bits)
     short = sums.select(*_OWN, *_from_lanes())
     # the same for long lines, a row a block
-    least = 2 * LONG_LINE  # characters that more words have
-    rest = lines(docs.where((F.length("text") >= least) & F.col("text").rlike(rf"(?:^|\n)[^\n]{{{least}}}")), least).where(F.size("words") > LONG_LINE)
+    least = 2 * LONG_LINE  # bytes that more words have
+    rest = lines(docs.where(F.octet_length("text") >= least), least).where(F.size("words") > LONG_LINE)
     rest = rest.select(*_PLACE, *hashes, F.explode("words").alias("w")).select(*_OWN, F.xxhash64("w").alias("x"))
     rest = rest.withColumn("k", _block_of(F.col("x"))).withColumn("m", F.call_function("shiftright", F.col("x"), F.col("k") * LANE))
     counts = rest.groupBy(*_OWN, "k").agg(F.count("*").alias("n"), *(F.sum(F.shiftright("m", i).bitwiseAND(F.lit(1))).alias(f"c{i}") for i in range(BITS)))
