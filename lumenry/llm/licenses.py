@@ -11,8 +11,11 @@ are scanned each for itself; an empty table gives an empty result; further colum
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +76,26 @@ FRAMES = (
     (r"{n}", 0.6, 2),
 )
 
+#: Identifiers as words, and their labels; those of the GNU family are made by rule below.
+IDENTIFIERS = (
+    ("mit", "mit"), ("mit-0", "mit 0"), ("isc", "isc"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"), ("bsd-4-clause", "bsd 4 clause"), ("bsd-0-clause", "0bsd"),
+    ("apache-1.1", "apache 1 1"), ("apache-2.0", "apache 2 0"), ("mpl-1.1", "mpl 1 1"), ("mpl-2.0", "mpl 2 0"), ("epl-1.0", "epl 1 0"), ("epl-2.0", "epl 2 0"), ("cddl-1.0", "cddl 1 0"), ("eupl-1.2", "eupl 1 2"),
+    ("boost-1.0", "bsl 1 0"), ("zlib", "zlib"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("artistic-2.0", "artistic 2 0"), ("ofl-1.1", "ofl 1 1"), ("ms-pl", "ms pl"), ("openssl", "openssl"), ("psf-2", "psf 2 0"), ("postgresql", "postgresql"),
+    ("ncsa", "ncsa"), ("x11", "x11"), ("afl-3.0", "afl 3 0"), ("osl-3.0", "osl 3 0"), ("cecill-2.1", "cecill 2 1"), ("cc0-1.0", "cc0 1 0"), ("odbl-1.0", "odbl 1 0"), ("busl-1.1", "busl 1 1"), ("sspl-1.0", "sspl 1 0"),
+    ("cc-by-4.0", "cc by 4 0"), ("cc-by-3.0", "cc by 3 0"), ("cc-by-sa-4.0", "cc by sa 4 0"), ("cc-by-sa-3.0", "cc by sa 3 0"), ("cc-by-nc-4.0", "cc by nc 4 0"), ("cc-by-nd-4.0", "cc by nd 4 0"), ("cc-by-nc-sa-4.0", "cc by nc sa 4 0"), ("cc-by-nc-nd-4.0", "cc by nc nd 4 0"),
+)
+#: GNU licenses and versions; each with no suffix, "only" and "or later", written with a blank, as one word with v, or with a hyphen.
+GNU = (("gpl", ("1.0", "2.0", "3.0")), ("lgpl", ("2.0", "2.1", "3.0")), ("agpl", ("1.0", "3.0")))
+
+#: Phrases around an identifier: expression, score, priority, and whether an identifier of one word, or without a figure, will do.
+ID_FRAMES = (
+    (r"spdx license identifier (?:\S+ (?:and|or|with) )?{n}", 0.99, 8, True),
+    (r"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?", 0.97, 7, True),
+    (r"licen[cs]e {n}", 0.9, 6, True),
+    (r"{n} licen[cs]ed?", 0.88, 6, True),
+    (r"{n}", 0.75, 5, False),
+)
+
 #: Texts of licenses and notices that name no license: label, expression, keywords, score, priority.
 NOTICES = (
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", ("hereby", "granted", "obtaining"), 0.97, 6),
@@ -81,6 +104,18 @@ NOTICES = (
     ("bsd-3-clause", r"neither the name of .{0,80}? nor the names of its contributors", ("neither", "contributors"), 0.95, 6),
     ("zlib", r"this software is provided as is without any express or implied warranty in no event", ("express", "implied", "warranty"), 0.7, 3),
     ("gpl", r"this program is free software you can redistribute it and or modify it", ("program", "redistribute", "modify"), 0.9, 5),
+    ("gpl-3.0", r"gnu general public license version 3 29 june 2007", ("gnu", "june", "2007"), 0.98, 8),
+    ("gpl-2.0", r"gnu general public license version 2 june 1991", ("gnu", "june", "1991"), 0.98, 8),
+    ("gpl", r"free software foundation either version \d(?: \d)? of the license or at your option any later version", ("foundation", "option", "later"), 0.93, 6),
+    ("lgpl", r"this library is free software you can redistribute it and or modify it", ("library", "redistribute", "modify"), 0.9, 5),
+    ("apache-2.0", r"you may not use this file except in compliance with the license", ("compliance", "except"), 0.9, 6),
+    ("apache-2.0", r"apache license version 2 0 january 2004", ("apache", "january", "2004"), 0.98, 8),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla", "source", "form"), 0.98, 8),
+    ("boost-1.0", r"boost software license version 1 0 17(?:th)? august 2003|boost software license version 1 0 august 17th 2003", ("boost", "august", "2003"), 0.98, 8),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed", ("verbatim", "changing"), 0.95, 6),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", ("unencumbered",), 0.98, 8),
+    ("cc0", r"to the extent possible under law .{0,80}? has waived all copyright", ("extent", "waived"), 0.95, 6),
+    ("zlib", r"altered source versions must be plainly marked as such", ("altered", "plainly"), 0.95, 6),
     ("public-domain", r"(?:released into|dedicated to|placed in) the public domain", ("public", "domain"), 0.9, 5),
     ("all-rights-reserved", r"all rights reserved", ("rights", "reserved"), 0.5, 1),
     ("proprietary", r"(?:confidential and proprietary|unauthorized copying of this file)", ("proprietary",), 0.6, 1),
@@ -118,6 +153,20 @@ def _plain(expression: str) -> str:
     return expression
 
 
+def _gnu() -> list[tuple[str, str]]:
+    """(label, expression) of the GNU identifiers."""
+    out = []
+    for name, versions in GNU:
+        for version in versions:
+            major, minor = version.split(".")
+            figures = f"{major} {minor}" if minor != "0" else f"{major}(?: 0)?"
+            for suffix in ("", "only", "or later"):
+                tail = f" {suffix}" if suffix else ""
+                for shown in (f"{name} {figures}{tail}", f"{name}v{figures}{tail}", f"{name} v{figures}{tail}"):
+                    out.append((f"{name}-{version}" + ("-" + suffix.replace(" ", "-") if suffix else ""), shown))
+    return out
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     """Every family and version in every frame, then the notices; highest priority first."""
@@ -141,6 +190,11 @@ def rules() -> tuple[Rule, ...]:
                         priority + bool(version),
                     )
                 )
+    for label, shown in (*IDENTIFIERS, *_gnu()):
+        keys = (frozenset(x for x in re.sub(r"\(.*?\)\??", " ", shown).split() if len(x) > 1 and x.isalnum()),)
+        for frame, score, priority, plain in ID_FRAMES:
+            if plain or (re.search(r"\d", shown) and (" " in shown or shown.startswith(("gplv", "lgplv", "agplv")))):
+                out.append(Rule(label, re.compile(r"(?<= )" + frame.format(n=shown) + r"(?= )"), keys, score, priority))
     out += [Rule(n, re.compile(rf"(?<= ){x}(?= )"), (frozenset(k),), s, p) for n, x, k, s, p in NOTICES]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
@@ -159,11 +213,29 @@ def detect(found_words: set[bytes], joined: str) -> list[tuple[int, int, Rule]]:
     _, by_key = _gates()
     have = {w.decode() for w in found_words}
     hits = {(m.start(), m.end(), rule) for key, gated in by_key.items() if key <= have for rule in gated for m in rule.pattern.finditer(joined)}
+    return sorted(suppressed(hits), key=lambda h: (h[0], h[1], h[2].label))
+
+
+def suppressed(hits: Iterable[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """Hits that lie inside no other of higher priority, nor of equal priority and greater length; of equal places, the first label.
+
+    A sweep by start for every priority, beside the kept intervals' largest end up to each start: n log n."""
     kept: list[tuple[int, int, Rule]] = []
-    for start, end, rule in sorted(hits, key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label)):
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
-    return sorted(kept, key=lambda h: (h[0], h[1], h[2].label))
+    by_priority: dict[int, list[tuple[int, int, Rule]]] = {}
+    for h in hits:
+        by_priority.setdefault(h[2].priority, []).append(h)
+    for priority in sorted(by_priority, reverse=True):
+        starts = [h[0] for h in kept]
+        reach = list(accumulate((h[1] for h in kept), max))
+        most = -1
+        new = []
+        for h in sorted(by_priority[priority], key=lambda h: (h[0], -h[1], h[2].label)):
+            k = bisect_right(starts, h[0])
+            if h[1] > most and not (k and reach[k - 1] >= h[1]):
+                new.append(h)
+            most = max(most, h[1])
+        kept = sorted(kept + new, key=lambda h: h[0])
+    return kept
 
 
 def places(joined: bytes, phrase: bytes) -> list[int]:

@@ -115,6 +115,51 @@ def test_license_rules_and_suppression():
     assert "cc-by-nc-sa-4.0" in label("available under CC BY-NC-SA 4.0")
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("// SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+        ("SPDX-License-Identifier: ISC", "isc"),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0-or-later"),
+        ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl-2.1-only"),
+        ("BSD-3-Clause License", "bsd-3-clause"),
+        ("licensed under GPLv2", "gpl-2.0"),
+        ("AGPLv3 or later", "agpl-3.0-or-later"),
+        ("Released under the MIT License.", "mit"),
+        ("you may not use this file except in compliance with the License", "apache-2.0"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ],
+)
+def test_license_forms(text, want):
+    assert want in licenses.scan_text(text)[5].split(","), licenses.scan_text(text)
+
+
+@pytest.mark.parametrize("text", ["mit dem Zug nach Apache County", "the x11 server", "a general public meeting about the zlib bug", "cc by mail", "version 2 of the plan", "isc dhcp"])
+def test_texts_that_are_no_license(text):
+    assert licenses.scan_text(text)[5] == ""
+
+
+def test_suppression_equals_brute_force_and_is_quick():
+    import random
+    import time
+
+    rng = random.Random(2)
+    for _ in range(200):
+        hits = set()
+        for _ in range(rng.randrange(12)):
+            a = rng.randrange(20)
+            hits.add((a, a + rng.randint(1, 9), licenses.Rule(rng.choice("abc"), re.compile(""), (), 1.0, rng.randrange(3))))
+        want = []
+        for h in sorted(hits, key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label)):
+            if not any(a <= h[0] and h[1] <= b for a, b, _ in want):
+                want.append(h)
+        assert set(licenses.suppressed(hits)) == set(want)
+    began = time.time()
+    assert licenses.scan_text("licensed under the GNU General Public License version 3. " * 20_000)[5]
+    assert time.time() - began < 30
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
