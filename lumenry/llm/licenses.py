@@ -177,7 +177,7 @@ def rules() -> tuple[Rule, ...]:
             for frame, score, priority in FRAMES:
                 shown = name
                 if frame == "{n}" and not version:  # a short name alone says nothing
-                    shown = "|".join(x for x in _split(name) if " " in x)
+                    shown = "|".join(x for x in _split(name) if " " in x and x not in ("cc by", "ms pl"))
                     if not shown:
                         continue
                 keys = tuple(frozenset(re.findall(r"\b[a-z0-9]{2,}\b", re.sub(r"\w*\[\w+\]\w*|\w+ \?\w+", " ", _plain(x)))) for x in _split(shown))
