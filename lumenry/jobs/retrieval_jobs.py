@@ -231,13 +231,14 @@ def _gold(spark, sf_dir):
     longest of them, up to five; passages without an inner word are looked for by a scan of the texts."""
     norm = T.normalize(F.col("text"))
     items = _items(spark, sf_dir).select("item_id", norm.alias("b")).where("b <> ''").withColumn("w", F.split("b", " ")).withColumn("n", F.least(F.size("w") - 2, F.lit(5)))
-    long = items.where("n > 0").select("item_id", "b", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("g"))
+    hashed = lambda n, part: F.xxhash64(n, F.array_join(part, " "))
+    long = items.where("n > 0").select("item_id", "b", "n", hashed(F.col("n"), F.slice("w", F.lit(2), F.col("n"))).alias("g"))
     lengths = [r[0] for r in long.select("n").distinct().collect()]
     docs = documents(spark, sf_dir).select("doc_id", norm.alias("t")).withColumn("w", F.split("t", " "))
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("g")))
-    grams = F.concat(*map(gram, lengths)) if lengths else F.array().cast("array<struct<n:int,g:bigint>>")
+    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: hashed(F.lit(n), F.slice("w", i, n)))
+    grams = F.concat(*map(gram, lengths)) if lengths else F.array().cast("array<bigint>")
     # only ids and hashes meet; texts of what meets follow
-    met = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("x")).select("doc_id", "x.n", "x.g").join(long.select("item_id", "n", "g"), ["n", "g"]).select("doc_id", "item_id").distinct()
+    met = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).join(long.select("item_id", "g"), "g").select("doc_id", "item_id").distinct()
     found = met.join(long.select("item_id", "b"), "item_id").join(docs.select("doc_id", "t"), "doc_id").where(F.contains("t", "b")).select("item_id", "doc_id")
     short = items.where("n <= 0").select("item_id", F.col("b").alias("term"))
     by_scan = retrieval.substring_counts(documents(spark, sf_dir), short, "doc_id").join(short, "term").select("item_id", "doc_id")
