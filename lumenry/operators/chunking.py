@@ -10,6 +10,10 @@ from lumenry.functions import text as T
 WIDTH, STEP, SHORTEST = 1800, 1600, 20
 HEADING = r"^(?:第[一二三四五六七八九十百千0-9]+[章节条款编]|(?:chapter|section|article|part)\s+[0-9ivx]+)"
 
+LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+# Marks without a blank before them, without one after them, and at the end of a sentence.
+CLOSING, OPENING, SENTENCE_END = "，。；：、,.!?！？）】》", "（【《", "。！？；"
+
 
 def windows(text: Column, width: int = WIDTH, step: int = STEP) -> Column:
     """Start offsets: one window for a text of up to ``width`` characters, else one every ``step``."""
@@ -69,3 +73,14 @@ def repair_character_lines(text: Column) -> Column:
     rows = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     short = F.size(F.filter(rows, lambda x: F.length(F.trim(x)) <= 3))
     return F.when((F.size(rows) > 0) & (short > 0.6 * F.size(rows)), F.array_join(F.transform(rows, lambda x: F.trim(x)), "")).otherwise(text)
+
+
+def merge_character_lines(text: Column) -> Column:
+    """Where over 60 % of the lines that aren't blank hold one to three characters and no two Latin letters in a row, joins all lines: blanks before closing marks and after
+    opening ones go, runs of blanks shrink, and a line ends after each mark that ends a sentence. Other texts stay."""
+    rows = F.filter(F.transform(F.split(text, LINE_END), T.strip), lambda x: x != "")
+    few = lambda x: (F.length(F.regexp_replace(x, r"\s+", "")) <= 3) & ~x.rlike("[A-Za-z]{2}")
+    merged = F.array_join(rows, "")
+    for pattern, by in ((rf"\s+([{CLOSING}])", "$1"), (rf"([{OPENING}])\s+", "$1"), (r"[ \t]{2,}", " "), (rf"([{SENTENCE_END}])", "$1\n")):
+        merged = F.regexp_replace(merged, pattern, by)
+    return F.when((F.size(rows) > 0) & (F.size(F.filter(rows, few)) > 0.6 * F.size(rows)), T.strip(merged)).otherwise(text)
