@@ -113,8 +113,9 @@ def _kept(pieces: Column) -> Column:
 
 
 def _pieces(page: Column, section: Column, text: Column) -> Column:
-    cut = F.transform(chunking.windows(text), lambda s, i: F.struct(page.alias("page"), section.alias("section"), i.alias("k"), T.strip(text.substr(s + 1, F.lit(chunking.WIDTH))).alias("text")))
-    return F.filter(cut, lambda c: c["text"] != "")
+    """The windows of a text that aren't blank. The text is bound to a name, so that it is made once and not for each window."""
+    cut = lambda t: F.transform(chunking.windows(t), lambda s, i: F.struct(page.alias("page"), section.alias("section"), i.alias("k"), T.strip(t.substr(s + 1, F.lit(chunking.WIDTH))).alias("text")))
+    return F.filter(F.flatten(F.transform(F.array(text), cut)), lambda c: c["text"] != "")
 
 
 def parse(docs: DataFrame) -> DataFrame:
