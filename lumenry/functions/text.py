@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Full-width characters and their half-width forms.
@@ -37,6 +37,11 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(half), r"(?U)\s+", " "))
 
 
+def normalized(rows: DataFrame, text: str = "text") -> Column:
+    """A table's normalised text: its column ``t`` where it has one."""
+    return F.col("t") if "t" in rows.columns else normalize(F.col(text))
+
+
 def numeric_terms(normalized: Column) -> Column:
     return F.regexp_extract_all(normalized, F.lit(f"({NUMERIC})"), F.lit(1))
 
@@ -77,8 +82,12 @@ def terms(text: Column) -> Column:
 
 def latin_terms(text: Column) -> Column:
     """``terms`` for texts known to have no CJK character: the same list, without looking for any."""
-    n = normalize(text)
-    return F.array_distinct(F.filter(F.concat(numeric_terms(n), ascii_terms(n)), lambda t: F.length(t) >= 2))
+    return latin_terms_of(normalize(text))
+
+
+def latin_terms_of(normalized: Column) -> Column:
+    """``latin_terms`` of a text that is normalised already."""
+    return F.array_distinct(F.filter(F.concat(numeric_terms(normalized), ascii_terms(normalized)), lambda t: F.length(t) >= 2))
 
 
 def term_base(term: Column, numeric_factor: float = 3.0) -> Column:

@@ -9,7 +9,7 @@ from lumenry.functions import text as T
 from lumenry.jobs.corpus_jobs import CHUNKS, NORM, documents
 from lumenry.jobs.registry import query, read
 from lumenry.operators import answers, cards, chunking, evaluation, retrieval
-from lumenry.sources.shared import table
+from lumenry.sources.shared import prepared, table
 
 ASCII = r"[a-zA-Z][a-zA-Z0-9.\-]+|\d{3,}"
 NUMERIC = r"(?:19|20)\d{2}|\d+(?:\.\d+)?%"
@@ -40,7 +40,12 @@ FULL = f"{CHUNKS}, {ITEM_TERMS}, {COUNTS}, {SCORED}"
 
 
 def _chunks(spark, sf_dir):
-    return chunking.chunks(documents(spark, sf_dir))
+    """All windows with their normalised text ``t``, made once an application and input."""
+    return prepared(spark, "chunks", sf_dir, lambda: chunking.chunks(documents(spark, sf_dir)).withColumn("t", T.normalize(F.col("text"))))
+
+
+def _titles(spark, sf_dir):
+    return prepared(spark, "titles", sf_dir, lambda: cards.titles(_chunks(spark, sf_dir)))
 
 
 def _items(spark, sf_dir):
@@ -49,8 +54,8 @@ def _items(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     chunked, terms = _chunks(spark, sf_dir), retrieval.query_terms(_items(spark, sf_dir))
-    stats = chunked.select(F.length(T.normalize(F.col("text"))).alias("size")).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    return retrieval.bm25(table(retrieval.token_counts(chunked, terms)), terms, stats, ["item_id"])
+    stats = chunked.agg(F.count("*").alias("n"), F.avg(F.length("t")).alias("mean"))
+    return retrieval.bm25(retrieval.token_counts(chunked, terms), terms, stats, ["item_id"])
 
 
 def _options(items):
@@ -204,20 +209,26 @@ GOLD = f"""gold AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, {NORM.
 
 @query(f"WITH {CHUNKS}, {TITLES} SELECT domain, doc_id, title FROM titles")
 def doc_titles(spark, sf_dir):
-    return cards.titles(_chunks(spark, sf_dir))
+    return _titles(spark, sf_dir)
 
 
 @query(f"WITH {CHUNKS}, {TITLES}, {CARDS} SELECT domain, doc_id, term, CAST(count AS BIGINT) AS count, round(score, 4) AS score FROM cards")
 def doc_cards(spark, sf_dir):
-    chunked = _chunks(spark, sf_dir)
-    return cards.card_terms(chunked, cards.titles(chunked)).select("domain", "doc_id", "term", "count", F.round("score", 4).alias("score"))
+    return cards.card_terms(_chunks(spark, sf_dir), _titles(spark, sf_dir)).select("domain", "doc_id", "term", "count", F.round("score", 4).alias("score"))
+
+
+BEST = 12
+
+
+def _card_top(spark, sf_dir):
+    """The best documents of every item by their cards, made once an application and input."""
 
+    def build():
+        chunked, titled = _chunks(spark, sf_dir), _titles(spark, sf_dir)
+        terms = table(cards.card_terms(chunked, titled).select("domain", "doc_id", "term", "rank"))
+        return cards.score_cards(retrieval.query_terms(_items(spark, sf_dir)).drop("weight"), terms, titled, cards.card_facts(chunked, titled), BEST)
 
-def _card_top(spark, sf_dir, k=12):
-    chunked = _chunks(spark, sf_dir)
-    titled = cards.titles(chunked)
-    terms = table(cards.card_terms(chunked, titled).select("domain", "doc_id", "term", "rank"))
-    return cards.score_cards(retrieval.query_terms(_items(spark, sf_dir)).drop("weight"), terms, titled, cards.card_facts(chunked, titled), k)
+    return prepared(spark, f"best {BEST} cards", sf_dir, build)
 
 
 @query(f"WITH {CHUNKS}, {TITLES}, {CARDS}, {ITEM_TERMS}, {CARD_TOP} SELECT item_id, doc_id, round(score, 3) AS score, rank FROM ctop")
@@ -278,7 +289,7 @@ SELECT item_id, option, reason, CASE WHEN reason LIKE 'high%' THEN 'route' ELSE
 def route_decision(spark, sf_dir):
     """Whether an option of a multi question is routed to one of its item's candidate documents."""
     options = _options(_items(spark, sf_dir)).drop("question").join(_places(spark, sf_dir), "item_id")
-    return cards.routes(options, cards.titles(_chunks(spark, sf_dir)))
+    return cards.routes(options, _titles(spark, sf_dir))
 
 
 @query(f"""WITH {SCOPED}, a AS (SELECT item_id, chunk_id FROM ranked WHERE rank <= 5), b AS (SELECT item_id, chunk_id FROM ranked WHERE rank <= 5 OR doc_rank <= 1), req AS (SELECT item_id, chunk_id FROM ranked WHERE doc_rank = 1)

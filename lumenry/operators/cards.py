@@ -39,7 +39,8 @@ def card_terms(chunked: DataFrame, titled: DataFrame, keywords: int = KEYWORDS)
     """(domain, doc_id, term, count, score, rank): the ranked keywords of every document.
 
     A term counts once a chunk and ``TITLE_WEIGHT`` more if the title has it; its document frequency is taken in the domain."""
-    in_chunks = chunked.select("domain", "doc_id", F.explode(T.latin_terms(F.col("text"))).alias("term"), F.lit(1).alias("w"))
+    plain = chunked.select("domain", "doc_id", T.normalized(chunked).alias("t"))  # once a text, before terms are exploded
+    in_chunks = plain.select("domain", "doc_id", F.explode(T.latin_terms_of(F.col("t"))).alias("term"), F.lit(1).alias("w"))
     in_title = titled.select("domain", "doc_id", F.explode(T.latin_terms(F.col("title"))).alias("term"), F.lit(TITLE_WEIGHT).alias("w"))
     counts = in_chunks.unionByName(in_title).groupBy("domain", "doc_id", "term").agg(F.sum("w").alias("count"))
     df = counts.groupBy("domain", "term").agg(F.count("*").alias("df"))

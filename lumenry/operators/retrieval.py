@@ -49,12 +49,12 @@ def option_weights(questions: DataFrame) -> DataFrame:
 
 
 def token_counts(chunked: DataFrame, terms: DataFrame) -> DataFrame:
-    """(chunk_id, size, term, tf) of the terms asked for. The join drops other tokens before the counts are shuffled."""
-    n = T.normalize(F.col("text"))
-    tokens = chunked.select("chunk_id", n.alias("t")).select("chunk_id", F.length("t").alias("size"), F.explode(T.ascii_terms(F.col("t"))).alias("term"))
+    """(chunk_id, size, term, tf) of the terms asked for, dealt by chunk, so that counts and scores of a chunk need no further exchange. The join drops other tokens before they are shuffled."""
+    plain = chunked.select("chunk_id", T.normalized(chunked).alias("t"))
+    tokens = plain.select("chunk_id", F.length("t").alias("size"), F.explode(T.ascii_terms(F.col("t"))).alias("term"))
     asked = terms.select("term").distinct()
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
-    return tokens.join(asked, "term", "left_semi").groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
+    return tokens.join(asked, "term", "left_semi").repartition("chunk_id").groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
 
 
 class Terms:
@@ -88,7 +88,7 @@ def substring_counts(texts: DataFrame, terms: DataFrame, key: str = "chunk_id")
     BROADCAST_TERMS, one scan each."""
     spark = texts.sparkSession
     kind = texts.select(key).schema[0].dataType.simpleString()
-    own = texts.select(key, T.normalize(F.col("text")).alias("t")).where("t is not null")
+    own = texts.select(key, T.normalized(texts).alias("t")).where("t is not null")
     asked = terms.select("term").distinct()
     parts = max(1, -(-asked.count() // BROADCAST_TERMS))
 
@@ -114,11 +114,12 @@ def substring_counts(texts: DataFrame, terms: DataFrame, key: str = "chunk_id")
 
 
 def bm25(counts: DataFrame, weights: DataFrame, stats: DataFrame, query: list[str]) -> DataFrame:
-    """Scores of (query, chunk) over the whole corpus. counts: (chunk_id, size, term, tf), read twice; weights: (query, term, weight); stats: one row (n, mean)."""
-    df = counts.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
-    rows = counts.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    rows = rows.select("chunk_id", "term", score_part(F.lit(1.0)).alias("part")).join(weights, "term")
-    return rows.groupBy(*query, "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("part")), 4).alias("score"), F.count("*").alias("n_matched"))
+    """Scores of (query, chunk) over the whole corpus. counts: (chunk_id, size, term, tf), dealt by chunk, used twice by way of one exchange; weights: (query, term, weight); stats: one row (n, mean)."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))  # a chunk has a term once
+    asked = weights.join(df, "term")
+    asked = F.broadcast(asked) if weights.count() <= BROADCAST_TERMS else asked
+    rows = counts.crossJoin(F.broadcast(stats)).join(asked, "term")  # stats is one row
+    return rows.groupBy("chunk_id", *query).agg(F.round(F.sum(F.col("weight") * score_part(F.lit(1.0))), 4).alias("score"), F.count("*").alias("n_matched")).select(*query, "chunk_id", "score", "n_matched")
 
 
 def score_part(weight: Column) -> Column:
@@ -130,7 +131,7 @@ def score_part(weight: Column) -> Column:
 def candidate_chunks(chunked: DataFrame, places: DataFrame) -> DataFrame:
     """Chunks of each item's candidate documents (item_id, doc_id), with t, size, and the item's n and mean size."""
     item = Window.partitionBy("item_id")
-    own = chunked.join(places, "doc_id").withColumn("t", T.normalize(F.col("text"))).withColumn("size", F.length("t"))
+    own = chunked.join(places, "doc_id").withColumn("t", T.normalized(chunked)).withColumn("size", F.length("t"))
     return own.withColumn("n", F.count("*").over(item)).withColumn("mean", F.avg("size").over(item))
 
 
