@@ -15,18 +15,18 @@ from lumenry.sources.shared import table
 OPTION_HITS = f"""{OPTIONS},
 every AS (SELECT DISTINCT item_id, option, unnest({_terms("option_text")}) AS term, 2.0 AS s FROM options UNION ALL
   SELECT DISTINCT item_id, option, unnest({_terms("question")}) AS term, 1.0 AS s FROM options),
-weights AS (SELECT item_id, option, term, CAST(round(max(s) * {BASE} * CASE WHEN count(*) = 2 THEN 1.5 ELSE 1.0 END, 6) AS DOUBLE) AS weight, max(s) = 2 AS own FROM every GROUP BY item_id, option, term),
+weights AS (SELECT item_id, option, term, CAST(round(max(s) * {BASE} * CASE WHEN count(*) = 2 THEN 1.5 ELSE 1.0 END, 6) AS DOUBLE) AS weight FROM every GROUP BY item_id, option, term),
 ohits AS (SELECT item_id, doc_id, chunk_id, length(t) AS size, term, (length(t) - length(replace(t, term, ''))) // length(term) AS tf, coalesce(contains({NORM.format("title")}, term), false) AS in_section
   FROM own JOIN (SELECT DISTINCT item_id, term FROM weights) USING (item_id) LEFT JOIN titles USING (domain, doc_id) WHERE contains(t, term)),
 odf AS (SELECT item_id, term, count(*) AS df FROM ohits GROUP BY item_id, term),
-oparts AS (SELECT item_id, option, doc_id, chunk_id, term, own, weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.4 + 0.4 * size / mean)) * CASE WHEN in_section THEN 1.1 ELSE 1.0 END AS part
+oparts AS (SELECT item_id, option, doc_id, chunk_id, term, weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.4 + 0.4 * size / mean)) * CASE WHEN in_section THEN 1.1 ELSE 1.0 END AS part
   FROM ohits JOIN odf USING (item_id, term) JOIN stats USING (item_id) JOIN weights USING (item_id, term)),
 oscored AS (SELECT item_id, option, doc_id, chunk_id, round(sum(part), 4) AS score, array_to_string(list_slice(list(term ORDER BY length(term) DESC, term), 1, 20), ' ') AS matched FROM oparts GROUP BY item_id, option, doc_id, chunk_id),
 oranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, option ORDER BY score DESC, chunk_id) AS rank, row_number() OVER (PARTITION BY item_id, option, doc_id ORDER BY score DESC, chunk_id) AS own_rank, count(*) OVER (PARTITION BY item_id, option, doc_id) AS n_own FROM oscored)"""
 
 
 def _parts(spark, sf_dir):
-    """(item_id, option, doc_id, chunk_id, term, own, part): every option's terms in its item's candidate chunks. A document's title is its chunks' section."""
+    """(item_id, option, doc_id, chunk_id, term, part): every option's terms in its item's candidate chunks. A document's title is its chunks' section."""
     weights = table(retrieval.option_weights(_options(_items(spark, sf_dir))))
     section = _titles(spark, sf_dir).select("domain", "doc_id", T.normalize(F.col("title")).alias("section"))
     own = retrieval.candidate_chunks(_chunks(spark, sf_dir), _places(spark, sf_dir)).join(section, ["domain", "doc_id"], "left")
@@ -54,10 +54,25 @@ def question_retrieval(spark, sf_dir):
     return best.groupBy("item_id").agg(F.count("*").alias("n_evidence"), F.countDistinct("option").alias("n_options"), F.countDistinct("chunk_id").alias("n_chunks"), F.round(F.max("score"), 3).alias("best"))
 
 
-@query(f"WITH {SCOPED}, {OPTION_HITS} SELECT item_id, option, round(max(score), 3) AS best, count(*) AS n_chunks FROM oscored GROUP BY item_id, option")
+@query(f"""WITH {SCOPED}, {OPTIONS}, alone AS (SELECT item_id, option, term, {BASE} AS base FROM (SELECT DISTINCT item_id, option, unnest({_terms("option_text")}) AS term FROM options)),
+inside AS (SELECT item_id, doc_id, count(*) AS n FROM own GROUP BY item_id, doc_id),
+ahits AS (SELECT item_id, doc_id, chunk_id, term, (length(t) - length(replace(t, term, ''))) // length(term) AS tf FROM own JOIN (SELECT DISTINCT item_id, term FROM alone) USING (item_id) WHERE contains(t, term)),
+adf AS (SELECT item_id, doc_id, term, count(*) AS df FROM ahits GROUP BY item_id, doc_id, term),
+ascored AS (SELECT item_id, option, chunk_id, round(sum(base * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)), 4) AS score FROM ahits JOIN adf USING (item_id, doc_id, term) JOIN inside USING (item_id, doc_id) JOIN alone USING (item_id, term) GROUP BY item_id, option, chunk_id)
+SELECT item_id, option, CAST(round(coalesce(max(score), 0), 3) AS DOUBLE) AS best, count(chunk_id) AS n_chunks FROM options LEFT JOIN ascored USING (item_id, option) GROUP BY item_id, option""")
 def option_max_score(spark, sf_dir):
-    """An option's best score: low ones tell options without evidence."""
-    return _by_option(spark, sf_dir).groupBy("item_id", "option").agg(F.round(F.max("score"), 3).alias("best"), F.count("*").alias("n_chunks"))
+    """The best score of an option's text alone: low ones tell options without evidence."""
+    own = retrieval.candidate_chunks(_chunks(spark, sf_dir), _places(spark, sf_dir))
+    best = retrieval.option_best(_options(_items(spark, sf_dir)).select("item_id", "option", "option_text"), own)
+    return best.select("item_id", "option", F.round("best", 3).alias("best"), F.col("n_chunks").cast("bigint").alias("n_chunks"))
+
+
+@query(f"""WITH {SCOPED}, {OPTION_HITS}, chosen AS (SELECT *, rank > 5 AS is_extra, count(*) OVER (PARTITION BY item_id, option) AS n FROM oranked WHERE rank <= 5 OR item_id % 3 = 0 AND own_rank <= 2)
+SELECT item_id, option, chunk_id, score, rank, is_extra, CAST(greatest(200, CASE WHEN is_extra THEN least(1400, 7000 // n, 800) ELSE least(1400, 7000 // n) END) AS BIGINT) AS max_chars FROM chosen""")
+def option_evidence(spark, sf_dir):
+    """Every option's evidence: the five best chunks, two of each candidate document for questions with several answers, and each one's share of characters."""
+    chosen = retrieval.option_evidence(_by_option(spark, sf_dir).drop("matched"), F.pmod("item_id", F.lit(3)) == 0)
+    return chosen.select("item_id", "option", "chunk_id", "score", "rank", "is_extra", "max_chars")
 
 
 @query(f"WITH {SCOPED} SELECT item_id, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, count(DISTINCT domain) AS n_domains FROM own GROUP BY item_id")

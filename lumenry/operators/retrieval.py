@@ -186,3 +186,26 @@ def in_order(selected: DataFrame, query: list[str]) -> DataFrame:
     """The selected chunks' texts joined in the order of the document; (query, text, n)."""
     ordered = F.array_sort(F.collect_list(F.struct("k", "text")))
     return selected.groupBy(*query).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n...\n").alias("evidence"), F.count("*").alias("n"))
+
+
+def option_best(options: DataFrame, own: DataFrame) -> DataFrame:
+    """(item_id, option, best, n_chunks): the best score of an option's text alone, 0 without a hit; low ones tell options without evidence.
+
+    options: (item_id, option, option_text); own: candidate chunks with t. Document frequencies are those inside each document, a chunk's length doesn't count, and neither does the question."""
+    plain = options.select("item_id", "option", T.normalize(F.col("option_text")).alias("t"))
+    terms = plain.select("item_id", "option", F.explode(T.latin_terms_of(F.col("t"))).alias("term")).withColumn("weight", T.term_base(F.col("term")))
+    sizes = own.groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    hits = term_hits(own.select("item_id", "doc_id", "chunk_id", "t"), terms).drop("df")
+    df = hits.groupBy("item_id", "doc_id", "term").agg(F.count("*").alias("df"))
+    rows = hits.join(df, ["item_id", "doc_id", "term"]).join(sizes, ["item_id", "doc_id"]).join(terms, ["item_id", "term"])
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1)
+    scored = rows.groupBy("item_id", "option", "chunk_id").agg(F.round(F.sum(part), 4).alias("score"))
+    best = scored.groupBy("item_id", "option").agg(F.max("score").alias("best"), F.count("*").alias("n_chunks"))
+    return options.select("item_id", "option").join(best, ["item_id", "option"], "left").fillna(0, ["best", "n_chunks"])
+
+
+def option_evidence(scored: DataFrame, many: Column, k: int = TOP, per_doc: int = PER_DOC) -> DataFrame:
+    """Every option's evidence from (item_id, option, doc_id, chunk_id, score): the best k, and where ``many`` holds what fills each document to ``per_doc``; with its budget of characters."""
+    picked = quota(scored, ["item_id", "option"], k, per_doc).where(many | ~F.col("is_extra"))
+    return budget(picked, ["item_id", "option"])
