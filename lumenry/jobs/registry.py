@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from lumenry.jobs import answer_jobs, audit_jobs, bundle_jobs, corpus_jobs, file_jobs, governance_jobs, label_jobs, loop_jobs, option_jobs, replay_jobs, reply_jobs, retrieval_jobs, trace_jobs  # noqa: F401
+    from lumenry.jobs import answer_jobs, audit_jobs, bundle_jobs, corpus_jobs, file_jobs, governance_jobs, label_jobs, loop_jobs, option_jobs, replay_jobs, reply_jobs, retrieval_jobs, run_jobs, trace_jobs  # noqa: F401
 
 
 _load()

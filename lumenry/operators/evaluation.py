@@ -145,3 +145,13 @@ def upper_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy(value)
     ranked = counts.withColumn("until", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
     return ranked.groupBy(key).agg(F.max("n").alias("n"), F.min(F.when(F.col("until") > F.floor(F.col("n") / 2), F.col(value))).alias("upper_median"))
+
+
+def alternative_probability(replies: DataFrame, letter: str = "letter", least: float = 0.01) -> DataFrame:
+    """The replies with ``best`` and ``appeared``: the largest probability that any candidate at any place of the reply has which contains the letter, and whether it is over ``least``.
+
+    replies have ``places``: array<struct<candidates: array<struct<token: string, logprob: double>>>>. A reply without places, and a letter that no candidate has, give 0."""
+    each = F.flatten(F.transform("places", lambda p: F.coalesce(p["candidates"], F.array().cast("array<struct<token:string,logprob:double>>"))))
+    own = F.transform(F.filter(each, lambda c: F.contains(c["token"], F.col(letter))), lambda c: F.exp(c["logprob"]))
+    best = F.coalesce(F.array_max(own), F.lit(0.0))
+    return replies.withColumn("best", best).withColumn("appeared", best > least)
