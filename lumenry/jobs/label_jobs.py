@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenry.functions import answers as A
 from lumenry.functions import text as T
 from lumenry.jobs.registry import query, read
-from lumenry.operators import answers, evaluation, parsing
+from lumenry.operators import answers, checks, evaluation, parsing
 from lumenry.sources import files
 
 
@@ -235,12 +235,19 @@ def frozen_selection(spark, sf_dir):
     return problem("unsorted", p.where("p_size > 40")).unionByName(problem("duplicate_ids", twice)).unionByName(problem("overlap", both))
 
 
-@query("""SELECT count(*) AS n, count(*) FILTER (a.o_orderstatus <> b.o_orderstatus) AS n_answer_diff, count(*) FILTER (a.o_orderpriority <> b.o_orderpriority) AS n_metadata_diff, round(sum(b.o_totalprice - a.o_totalprice), 0) AS cost FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey AND a.o_orderkey % 2 = 0""")
+@query("""WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END AS p, CAST(round(o_totalprice * 100) AS BIGINT) + o_orderkey % 5 AS t FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 14 <> 0
+ UNION ALL SELECT -o_orderkey, o_orderstatus, o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) FROM orders WHERE o_orderkey % 22 = 0), a AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p, CAST(round(o_totalprice * 100) AS BIGINT) AS t FROM orders WHERE o_orderkey % 2 = 0)
+SELECT count(*) AS n, count(*) FILTER (a.t IS NULL) AS n_added, count(*) FILTER (b.t IS NULL) AS n_removed, count(*) FILTER (a.t IS NOT NULL AND b.t IS NOT NULL AND a.s IS DISTINCT FROM b.s) AS n_answer_diff, count(*) FILTER (a.t IS NOT NULL AND b.t IS NOT NULL AND a.p IS DISTINCT FROM b.p) AS n_metadata_diff,
+ CAST(coalesce(sum(b.t), 0) - coalesce(sum(a.t), 0) AS BIGINT) AS cost FROM a FULL JOIN b USING (o_orderkey)""")
 def candidate_audit(spark, sf_dir):
-    """A candidate against its parent: answers and metadata that differ, and what it cost."""
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    b = o.select("o_orderkey", *(F.col(c).alias(f"b_{c}") for c in o.columns[1:]))
-    return o.join(b, "o_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") != F.col("b_o_orderstatus")).alias("n_answer_diff"), F.count_if(F.col("o_orderpriority") != F.col("b_o_orderpriority")).alias("n_metadata_diff"), F.round(F.sum(F.col("b_o_totalprice") - F.col("o_totalprice")), 0).alias("cost"))
+    """A candidate against its parent: what was added and removed, answers and metadata that differ, and what it cost. The candidate has other statuses, priorities and totals by id, lacks some orders and has some of its own."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("answer"), F.col("o_orderpriority").alias("metadata"), cents.alias("cost"))
+    parent = o.where(k % 2 == 0)
+    candidate = parent.where(k % 14 != 0).select("o_orderkey", F.when(k % 6 == 0, "X").otherwise(F.col("answer")).alias("answer"), F.when(k % 10 != 0, F.col("metadata")).alias("metadata"), (F.col("cost") + k % 5).alias("cost"))
+    own = o.where(k % 22 == 0).select((-k).alias("o_orderkey"), "answer", "metadata", "cost")
+    return checks.candidate_differences(parent, candidate.unionByName(own), "o_orderkey")
 
 
 @query("""SELECT source AS domain, md5(string_agg('## ' || doc_id || chr(10) || '- Language: ' || coalesce(lang, '?'), chr(10) ORDER BY doc_id)) AS packet, count(*) AS n FROM documents GROUP BY source""")

@@ -15,6 +15,15 @@ from lumenry.operators import checks, lineage
 CALLS = """calls AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, event_type, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"""
 
 
+#: Merged rows that were changed after the merge, so that audits have something to find: status of every 23rd order, total of every 29th.
+CHANGED = f"""{MERGED}, changed AS (SELECT o_orderkey, CASE WHEN o_orderkey % 23 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 29 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, source_kind FROM merged)"""
+
+
+def _changed(merged: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    return merged.withColumn("o_orderstatus", F.when(k % 23 == 0, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.when(k % 29 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+
+
 def _lines(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "lineitem")
 
@@ -24,8 +33,8 @@ def _calls(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), "event_type", "ts", k.alias("k"))
 
 
-@query(f"""WITH {MERGED}, l AS (SELECT l_orderkey AS k, count(*) AS n, count(DISTINCT l_linenumber) AS d, max(l_linenumber) AS top, min(l_quantity) AS q, bool_or(l_returnflag = 'A') AS a FROM lineitem GROUP BY l_orderkey),
-j AS (SELECT m.*, l.*, o.o_totalprice AS parent_total, o.o_orderstatus AS parent_status FROM merged m JOIN orders o USING (o_orderkey) LEFT JOIN l ON l.k = m.o_orderkey)
+@query(f"""WITH {CHANGED}, l AS (SELECT l_orderkey AS k, count(*) AS n, count(DISTINCT l_linenumber) AS d, max(l_linenumber) AS top, min(l_quantity) AS q, bool_or(l_returnflag = 'A') AS a FROM lineitem GROUP BY l_orderkey),
+j AS (SELECT m.*, l.*, o.o_totalprice AS parent_total, o.o_orderstatus AS parent_status FROM changed m JOIN orders o USING (o_orderkey) LEFT JOIN l ON l.k = m.o_orderkey)
 SELECT * FROM (
  SELECT o_orderkey AS qid, 'rows_missing' AS "check" FROM j WHERE n IS NULL UNION ALL
  SELECT o_orderkey, 'duplicate_option' FROM j WHERE n <> d UNION ALL
@@ -37,7 +46,7 @@ SELECT * FROM (
  SELECT o_orderkey, 'total_below_rows' FROM j WHERE source_kind = 'rerun' AND o_totalprice > parent_total)""")
 def bundle_validator(spark, sf_dir):
     """Every rule on a merged bundle, its parent and its rows; all failures are listed."""
-    merged = lineage.overlay(_orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", "o_totalprice"), _reruns(spark, sf_dir), "o_orderkey", ["o_orderstatus", "o_totalprice"])
+    merged = _changed(lineage.overlay(_orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", "o_totalprice"), _reruns(spark, sf_dir), "o_orderkey", ["o_orderstatus", "o_totalprice"]))
     rows = _lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("d"), F.max("l_linenumber").alias("top"), F.min("l_quantity").alias("q"), F.bool_or(F.col("l_returnflag") == "A").alias("a")
     )
@@ -52,13 +61,13 @@ def bundle_validator(spark, sf_dir):
     })
 
 
-@query(f"""WITH {MERGED} SELECT CASE WHEN m.source_kind = 'parent' THEN CASE WHEN m.o_totalprice IS NOT DISTINCT FROM o.o_totalprice AND m.o_orderstatus IS NOT DISTINCT FROM o.o_orderstatus THEN 'parent_kept' ELSE 'parent_changed' END
+@query(f"""WITH {CHANGED} SELECT CASE WHEN m.source_kind = 'parent' THEN CASE WHEN m.o_totalprice IS NOT DISTINCT FROM o.o_totalprice AND m.o_orderstatus IS NOT DISTINCT FROM o.o_orderstatus THEN 'parent_kept' ELSE 'parent_changed' END
  ELSE CASE WHEN m.o_totalprice IS NOT DISTINCT FROM r.o_totalprice AND m.o_orderstatus IS NOT DISTINCT FROM r.o_orderstatus THEN 'rerun_taken' ELSE 'rerun_changed' END END AS kind, count(*) AS n
-FROM merged m JOIN orders o USING (o_orderkey) LEFT JOIN rerun r USING (o_orderkey) GROUP BY 1""")
+FROM changed m JOIN orders o USING (o_orderkey) LEFT JOIN rerun r USING (o_orderkey) GROUP BY 1""")
 def lineage_validity(spark, sf_dir):
     """Merged rows against the side their lineage names: null-safe equality of the rows."""
     parent, rerun = _orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", "o_totalprice"), _reruns(spark, sf_dir)
-    merged = lineage.overlay(parent, rerun, "o_orderkey", ["o_orderstatus", "o_totalprice"])
+    merged = _changed(lineage.overlay(parent, rerun, "o_orderkey", ["o_orderstatus", "o_totalprice"]))
     side = lambda df, p: df.select("o_orderkey", F.struct("o_orderstatus", "o_totalprice").alias(p))
     joined = merged.join(side(parent, "p"), "o_orderkey").join(side(rerun, "r"), "o_orderkey", "left")
     own = F.struct("o_orderstatus", "o_totalprice")
@@ -66,12 +75,14 @@ def lineage_validity(spark, sf_dir):
     return joined.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {CALLS}, m AS (SELECT user_id, count(*) AS n_calls, count(*) FILTER (event_type = 'error') AS n_failed FROM calls GROUP BY user_id), d AS (SELECT user_id, day, count(*) AS n, count(*) FILTER (event_type <> 'error') AS ok FROM calls GROUP BY user_id, day)
+@query(f"""WITH {CALLS}, m AS (SELECT user_id, count(*) + CASE WHEN user_id % 7 = 0 THEN 1 ELSE 0 END AS n_calls, count(*) FILTER (event_type = 'error') + CASE WHEN user_id % 7 = 3 THEN 1 ELSE 0 END AS n_failed FROM calls GROUP BY user_id), d AS (SELECT user_id, day, count(*) AS n, count(*) FILTER (event_type <> 'error') AS ok FROM calls GROUP BY user_id, day)
 SELECT m.user_id, n_calls, n_failed, CAST(sum(d.n) AS BIGINT) = n_calls AND n_calls - n_failed = CAST(sum(d.ok) AS BIGINT) AS reconciled FROM m JOIN d USING (user_id) GROUP BY m.user_id, n_calls, n_failed""")
 def count_reconciliation(spark, sf_dir):
-    """A run's manifest counts against the rows of its derivations."""
+    """A run's manifest counts against the rows of its derivations. The manifests of two users in seven are off by one, in calls or in failures."""
     c = _calls(spark, sf_dir)
+    off = lambda r: F.when(F.col("user_id") % 7 == r, 1).otherwise(0)
     manifest = c.groupBy("user_id").agg(F.count("*").alias("n_calls"), F.count_if(F.col("event_type") == "error").alias("n_failed"))
+    manifest = manifest.select("user_id", (F.col("n_calls") + off(0)).alias("n_calls"), (F.col("n_failed") + off(3)).alias("n_failed"))
     days = c.groupBy("user_id", "day").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("ok")).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
     return manifest.join(days, "user_id").select("user_id", "n_calls", "n_failed", ((F.col("n") == F.col("n_calls")) & (F.col("n_calls") - F.col("n_failed") == F.col("ok"))).alias("reconciled"))
 

@@ -72,3 +72,15 @@ def gates(one: DataFrame, named: dict[str, Column]) -> DataFrame:
     every = [F.struct(F.lit(k).alias("gate"), v.alias("pass")) for k, v in named.items()]
     together = F.forall(F.array(*named.values()), lambda x: x)
     return one.select(F.explode(F.array(*every, F.struct(F.lit("all").alias("gate"), together.alias("pass")))).alias("g")).select("g.*")
+
+
+def candidate_differences(parent: DataFrame, candidate: DataFrame, key: str) -> DataFrame:
+    """One row (n, n_added, n_removed, n_answer_diff, n_metadata_diff, cost) over two sides (key, answer, metadata, cost), one row a key: differences are null-safe, cost is the candidate's less the parent's."""
+    side = lambda df, name: df.select(key, F.struct("answer", "metadata", "cost").alias(name))
+    both = side(parent, "p").join(side(candidate, "c"), key, "full_outer")
+    paired = F.col("p").isNotNull() & F.col("c").isNotNull()
+    differs = lambda f: F.count_if(paired & ~F.col(f"p.{f}").eqNullSafe(F.col(f"c.{f}")))
+    total = lambda s: F.coalesce(F.sum(f"{s}.cost"), F.lit(0))
+    return both.agg(
+        F.count("*").alias("n"), F.count_if(F.col("p").isNull()).alias("n_added"), F.count_if(F.col("c").isNull()).alias("n_removed"), differs("answer").alias("n_answer_diff"), differs("metadata").alias("n_metadata_diff"), (total("c") - total("p")).alias("cost")
+    )
