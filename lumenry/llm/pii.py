@@ -3,8 +3,9 @@
 Candidate spans come from the four base expressions and from wider ones. Labelers (regular expressions,
 checksums, gazetteers, context) vote 1, -1 or 0 on each candidate. Candidates are counted by kind and vote
 pattern; expectation-maximisation over these few counts estimates how reliable each labeler is. Its posteriors then
-train a final span classifier on the candidates' own shapes and votes, and candidates that it accepts become spans of the method.
-Base spans always stay.
+train a final span classifier on the candidates' votes, lengths and forms (what characters they have, and whether a quote or an
+equals sign stands before them), and candidates that it accepts become spans of the method. Of accepted ones that overlap, the one of the higher score stays, then the
+longer one. Base spans always stay, and nothing is added that overlaps them.
 
 Spans are found with extraction and splitting by the same expression: the lengths of what stands between
 the matches give their places. Expressions start only at the beginning of a run or where the last match ended, and
@@ -29,6 +30,19 @@ KINDS = ("email", "ip", "card", "phone", "local_phone", "ssn", "iban", "secret",
 BASE = KINDS[:4]
 
 _MAIL = "[A-Za-z0-9._%+-]"
+_NAME = "[A-ZÀ-Ý][a-zà-ÿ]{1,20}"
+TITLES = "Mrs|Mr|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora|Señor"
+# Frequent given and family names, cities, and banks, by which the gazetteers know persons and accounts.
+GIVEN = (
+    "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|William|Elizabeth|David|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Daniel|Emma|Laura|Anna|Peter|Paul|Hans|Klaus|Sabine|"
+    "Jean|Pierre|Marie|Jacques|Sophie|Claire|Antoine|Jürgen|Wolfgang|Ursula|Heike|José|Juan|Carlos|Luis|Carmen|Pilar|María|Antonio|Francisco|Miguel|Isabel|Julia|Martin|Stefan|Andreas|Alice|Nicolas|Elena|Lucía|Pablo"
+)
+FAMILY = (
+    "Smith|Johnson|Williams|Brown|Jones|Miller|Davis|Wilson|Anderson|Taylor|Moore|Jackson|White|Harris|Clark|Lewis|Walker|Hall|Young|King|Müller|Schmidt|Schneider|Fischer|Weber|Meyer|Wagner|Becker|Schulz|Hoffmann|"
+    "Martin|Bernard|Dubois|Durand|Moreau|Laurent|Lefebvre|Leroy|Roux|Fournier|García|Fernández|González|Rodríguez|López|Martínez|Sánchez|Pérez|Gómez|Ruiz|Hernández|Jiménez|Díaz|Moreno|Álvarez|Keller|Bauer|Richter|Klein|Wolf"
+)
+CITIES = "London|Paris|Berlin|Madrid|New York|Boston|Chicago|Munich|Hamburg|Lyon|Marseille|Barcelona|Sevilla|San Francisco|Los Angeles|Vienna|Zurich|Geneva|Brussels|Amsterdam"
+BANKS = "Bank|Banque|Banco|Sparkasse|Volksbank|Santander|Barclays|Postbank|Caixa"
 EXPRESSIONS = {
     "email": rf"(?:\G|(?<!{_MAIL})){_MAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -38,8 +52,9 @@ EXPRESSIONS = {
     "local_phone": r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,64}|sk-[A-Za-z0-9_-]{16,80}|xox[abp]-[A-Za-z0-9-]{10,80}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])",
-    "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20[A-ZÀ-Ý][a-zà-ÿ]{1,20}(?:\x20[A-ZÀ-Ý][a-zà-ÿ]{1,20})?",
+    # any long run; the labelers tell keys from long words, names of files and digests
+    "secret": r"(?:\G|(?<![A-Za-z0-9_-]))[A-Za-z0-9_-]{20,}+",
+    "person": rf"(?<![A-Za-zÀ-ÿ])(?:(?:{TITLES})\.?\x20{_NAME}(?:\x20{_NAME})?|{_NAME}\x20{_NAME}(?:\x20{_NAME})?)(?![A-Za-zÀ-ÿ])",
 }
 #: A text without a match of this has no candidate of the kind; cheaper than the expression itself.
 GATES = {
@@ -50,8 +65,8 @@ GATES = {
     "local_phone": r"[0-9]\)?[\x20.-][0-9]{3}",
     "ssn": r"[0-9]-[0-9]{2}-[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}",
-    "secret": r"AKIA|gh[pousr]_|sk-|xox[abp]-|AIza",
-    "person": r"M(?:r|s|onsieur|adame)|Dr|Prof|Herr|Frau|Señor",
+    "secret": r"[A-Za-z0-9_-]{20}",
+    "person": rf"{_NAME}\x20[A-ZÀ-Ý]|(?:{TITLES})\.\x20",
 }
 
 #: Gazetteers: endings of public host names, and words that come before or after personal data.
@@ -64,9 +79,12 @@ CONTEXT = {
     "local_phone": "phone|call|tel|mobile|fax|ruf|appel|llam",
     "ssn": "ssn|social|security|tax|insurance",
     "iban": "iban|account|bank|konto|compte|cuenta",
-    "secret": "key|token|secret|password|credential|auth",
+    "secret": "key|token|secret|password|passwd|credential|auth|bearer",
     "person": "name|dear|contact|by|signed|from|von|par|por",
 }
+#: Beginnings of keys that their makers give, and words before digests that are no secrets.
+KEYS = "AKIA|gh[pousr]_|sk-|xox[abp]-|AIza"
+DIGESTS = "commit|sha|md5|checksum|digest|revision|hash|uuid|build"
 AGAINST = "version|v\\.|isbn|issn|order|invoice|page|section|figure|table|build|release|item|serial"
 
 LABELERS = ("shape", "checksum", "gazetteer", "context", "against", "edge")
@@ -74,6 +92,8 @@ LEFT, RIGHT = 32, 12
 CHUNK = 256
 ROUNDS = 50
 ACCEPT = 0.5
+#: Votes that a candidate of a kind without a base rule needs beyond those against it, before reliabilities are known.
+CAUTION = 2.5
 
 
 def _starts(lengths: Column) -> Column:
@@ -172,6 +192,11 @@ def _checksum(kind: str, value: Column) -> Column:
     if kind in ("card", "ip", "phone"):
         ok = passes(kind, value)
         return _vote(ok, ~ok)
+    if kind == "secret":  # as many characters as a key or a digest in hexadecimal has
+        return _vote(value.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32})$"), F.lit(False))
+    if kind == "person":
+        both = value.rlike(rf"^(?:{TITLES})\.?\x20|(?:^|\x20)(?:{GIVEN})\x20(?:{_NAME}\x20)?(?:{FAMILY})$")
+        return _vote(both, F.lit(False))
     return F.lit(0)
 
 
@@ -188,6 +213,17 @@ def _gazetteer(kind: str, value: Column) -> Column:
     if kind in ("phone", "local_phone"):
         odd = _digits(value).rlike("^0{3,}|([0-9])\\1{6,}")
         return _vote(~odd, odd)
+    if kind == "ssn":
+        return _vote(F.lit(False), value.rlike("^(?:078-05-1120|219-09-9999|123-45-6789)$"))  # numbers that were printed as examples
+    if kind == "iban":
+        country = value.rlike("^(?:AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM)")
+        return _vote(country, ~country)
+    if kind == "secret":
+        return _vote(value.rlike(f"^(?:{KEYS})"), ~value.rlike("[0-9]") | value.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"))  # an account is no key
+    if kind == "person":
+        known = value.rlike(rf"(?:^|\x20)(?:{GIVEN})\x20|\x20(?:{FAMILY})$")
+        place = value.rlike(rf"(?:^|\x20)(?:{CITIES}|{BANKS})(?:\x20|$)")
+        return _vote(known & ~place, place | (~known & ~value.rlike(rf"^(?:{TITLES})\.?\x20")))
     return F.lit(0)
 
 
@@ -198,11 +234,20 @@ def _shape(kind: str, value: Column) -> Column:
     if kind == "local_phone":
         return _vote(n.between(9, 11), n < 8)
     if kind == "secret":
-        mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+        mixed = (n >= 3) & value.rlike("[A-Za-z]") & (F.length(value) <= 128) & ~value.rlike("[a-z]{9}")
         return _vote(mixed, ~mixed)
+    if kind == "person":
+        titled = value.rlike(rf"^(?:{TITLES})\.?\x20")
+        return _vote(titled, F.lit(False))
     return F.lit(1)
 
 
+def _form(kind: str, value: Column, left: Column) -> Column:
+    """Which characters a span has and what stands right before it, as bits; three, so that patterns stay few."""
+    bits = (left.rlike(r"[\"'=:]\s*$"), value.rlike("[A-Z]"), value.rlike(r"^[0-9a-fA-F\x20-]+$"))
+    return sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0))
+
+
 def _candidate(kind: str, text: Column, span: Column) -> Column:
     """A span with its votes and a shape bucket."""
     value, start = span["value"], span["start"]
@@ -214,7 +259,7 @@ def _candidate(kind: str, text: Column, span: Column) -> Column:
         _checksum(kind, value),
         _gazetteer(kind, value),
         _vote(left.rlike(rf"\b(?:{CONTEXT[kind]})"), F.lit(False)),
-        _vote(F.lit(False), left.rlike(rf"\b(?:{AGAINST})\W*\w*\W*$")),
+        _vote(F.lit(False), left.rlike(rf"\b(?:{DIGESTS if kind == 'secret' else AGAINST})\W*\w*\W*$")),
         _vote(~glued, glued),
     )
     return F.struct(
@@ -224,10 +269,11 @@ def _candidate(kind: str, text: Column, span: Column) -> Column:
         (passes(kind, value) if kind in BASE else F.lit(False)).alias("base"),
         F.array(*(v.cast("int") for v in votes)).alias("votes"),
         F.least(F.floor(F.length(value) / 4), F.lit(9)).cast("int").alias("long"),
+        _form(kind, value, left).cast("int").alias("form"),
     )
 
 
-_CANDIDATE = "array<struct<kind:int,start:int,end:int,base:boolean,votes:array<int>,long:int>>"
+_CANDIDATE = "array<struct<kind:int,start:int,end:int,base:boolean,votes:array<int>,long:int,form:int>>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -244,24 +290,28 @@ def candidates(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", F.when(any_, F.concat(*found)).otherwise(F.array().cast(_CANDIDATE)).alias("candidates"))
 
 
-def patterns(found: DataFrame) -> list[tuple[int, tuple[int, ...], int, int]]:
-    """(kind, votes, length bucket, count): at most kinds x 3^labelers x 10 rows, whatever the input."""
-    rows = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.long").count().collect()
-    return sorted((r["kind"], tuple(r["votes"]), r["long"], r["count"]) for r in rows)
+#: kind, votes, length bucket, form, how many candidates
+Pattern = tuple[int, tuple[int, ...], int, int, int]
+
+
+def patterns(found: DataFrame) -> list[Pattern]:
+    """At most kinds x 3^labelers x 10 lengths x 8 forms rows, whatever the input."""
+    rows = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.long", "c.form").count().collect()
+    return sorted((r["kind"], tuple(r["votes"]), r["long"], r["form"], r["count"]) for r in rows)
 
 
-def reliabilities(seen: Sequence[tuple[int, tuple[int, ...], int, int]]) -> tuple[dict[int, float], dict[tuple[int, int, int, int], float], list[float]]:
+def reliabilities(seen: Sequence[Pattern]) -> tuple[dict[int, float], dict[tuple[int, int, int, int], float], list[float]]:
     """EM for two classes: (prior by kind, P(vote | class) by (kind, labeler, vote, class), posterior of each row).
 
-    Starts from the majority of votes; rates are smoothed by one pseudo-candidate a vote.
+    Starts from the majority of votes, by more than CAUTION where no base rule holds a kind; rates are smoothed by one pseudo-candidate a vote.
     """
-    post = [1 / (1 + math.exp(-sum(v))) for _, v, _, _ in seen]
+    post = [1 / (1 + math.exp(-sum(v) + (CAUTION if kind >= len(BASE) else 0))) for kind, v, *_ in seen]
     prior: dict[int, float] = {}
     rate: dict[tuple[int, int, int, int], float] = {}
     for _ in range(ROUNDS):
         mass: dict[tuple[int, int], float] = {}
         hits: dict[tuple[int, int, int, int], float] = {}
-        for (kind, votes, _, n), p in zip(seen, post, strict=True):
+        for (kind, votes, _, _, n), p in zip(seen, post, strict=True):
             for y, q in ((1, p), (0, 1 - p)):
                 mass[kind, y] = mass.get((kind, y), 0) + n * q
                 for i, v in enumerate(votes):
@@ -276,20 +326,21 @@ def reliabilities(seen: Sequence[tuple[int, tuple[int, ...], int, int]]) -> tupl
                     for v in (-1, 0, 1):
                         rate[kind, i, v, y] = (hits.get((kind, i, v, y), 0) + lean[v]) / (mass[kind, y] + 3)
         post = []
-        for kind, votes, _, _ in seen:
+        for kind, votes, *_ in seen:
             odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(rate[kind, i, v, 1] / rate[kind, i, v, 0]) for i, v in enumerate(votes))
             post.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
     return prior, rate, post
 
 
-def _inputs(kind: int, votes: Sequence[int], long: int) -> list[str]:
-    return ["bias", f"k{kind}", f"k{kind}l{long}", *(f"k{kind}v{i}{v}" for i, v in enumerate(votes) if v)]
+def _inputs(kind: int, votes: Sequence[int], long: int, form: int) -> list[str]:
+    bits = [f"k{kind}f{i}" for i in range(3) if form >> i & 1]
+    return ["bias", f"k{kind}", f"k{kind}l{long}", *bits, *(f"k{kind}v{i}{v}" for i, v in enumerate(votes) if v)]
 
 
-def classifier(seen: Sequence[tuple[int, tuple[int, ...], int, int]], post: Sequence[float], rounds: int = 300, rate: float = 0.5, l2: float = 0.01) -> dict[str, float]:
-    """Logistic span classifier on kind, length and votes, trained on the posteriors weighted by log counts."""
+def classifier(seen: Sequence[Pattern], post: Sequence[float], rounds: int = 300, rate: float = 0.5, l2: float = 0.01) -> dict[str, float]:
+    """Logistic span classifier on kind, length, form and votes, trained on the posteriors weighted by log counts."""
     w: dict[str, float] = {}
-    rows = [(_inputs(k, v, b), math.log1p(n), p) for (k, v, b, n), p in zip(seen, post, strict=True)]
+    rows = [(_inputs(k, v, b, f), math.log1p(n), p) for (k, v, b, f, n), p in zip(seen, post, strict=True)]
     total = sum(n for _, n, _ in rows) or 1.0
     square: dict[str, float] = {}
     for _ in range(rounds):
@@ -305,14 +356,14 @@ def classifier(seen: Sequence[tuple[int, tuple[int, ...], int, int]], post: Sequ
     return w
 
 
-def accepted(seen: Sequence[tuple[int, tuple[int, ...], int, int]], weights: dict[str, float]) -> list[tuple[int, tuple[int, ...], int]]:
-    """Patterns that the classifier takes for personal data."""
-    score = lambda k, v, b: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights.get(i, 0.0) for i in _inputs(k, v, b))))))
-    return [(k, v, b) for k, v, b, _ in seen if score(k, v, b) >= ACCEPT]
+def accepted(seen: Sequence[Pattern], weights: dict[str, float]) -> dict[tuple[int, tuple[int, ...], int, int], float]:
+    """Patterns that the classifier takes for personal data, with their scores."""
+    score = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights.get(i, 0.0) for i in _inputs(*x))))))
+    return {x[:4]: score(x[:4]) for x in seen if score(x[:4]) >= ACCEPT}
 
 
 def _key(c: Column) -> Column:
-    return F.concat_ws("/", c["kind"].cast("string"), F.array_join(F.transform(c["votes"], lambda v: v.cast("string")), ""), c["long"].cast("string"))
+    return F.concat_ws("/", c["kind"].cast("string"), F.array_join(F.transform(c["votes"], lambda v: v.cast("string")), ""), c["long"].cast("string"), c["form"].cast("string"))
 
 
 def _joined(spans: Column) -> Column:
@@ -322,16 +373,22 @@ def _joined(spans: Column) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, added): base spans, and accepted spans that no base span overlaps."""
+    """(doc_id, base, added): base spans, and accepted spans that neither a base span nor an accepted one of a higher score overlaps."""
     found = table(candidates(docs))  # one pass over the texts: their spans are few
     seen = patterns(found)
     _, _, post = reliabilities(seen) if seen else ({}, {}, [])
     taken = accepted(seen, classifier(seen, post))
-    keys = ["/".join((str(k), "".join(map(str, v)), str(b))) for k, v, b in taken if KINDS[k] not in BASE]
+    scores = {"/".join((str(k), "".join(map(str, v)), str(b), str(f))): s for (k, v, b, f), s in taken.items() if KINDS[k] not in BASE}
     base = found.withColumn("base", F.filter("candidates", lambda c: c["base"]))
-    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    added = F.filter("candidates", lambda c: ~c["base"] & _key(c).isin(keys) & free(c)) if keys else F.array().cast(_CANDIDATE)
-    return base.select("doc_id", "base", added.alias("added"))
+    if not scores:
+        return base.select("doc_id", "base", F.array().cast(_CANDIDATE).alias("added"))
+    known = F.create_map(*[F.lit(x) for pair in scores.items() for x in pair])
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    rank = lambda c: F.struct(F.try_element_at(known, _key(c)).alias("score"), (c["end"] - c["start"]).alias("size"), (-c["start"]).alias("at"), (-c["kind"]).alias("kind"))
+    free = F.filter("candidates", lambda c: ~c["base"] & F.try_element_at(known, _key(c)).isNotNull() & ~F.exists("base", lambda b: meets(b, c)))
+    rows = base.select("doc_id", "base", F.transform(free, lambda c: F.struct(c.alias("c"), rank(c).alias("r"))).alias("free"))
+    best = F.filter("free", lambda x: ~F.exists("free", lambda y: meets(x["c"], y["c"]) & (y["r"] > x["r"])))
+    return rows.select("doc_id", "base", F.transform(best, lambda x: x["c"]).alias("added"))
 
 
 def report(found: DataFrame) -> DataFrame:
