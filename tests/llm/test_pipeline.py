@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from lumenry.llm import decontaminate, jaccard, packing
-from lumenry.llm.common import words
+from lumenry.llm.common import table, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +62,29 @@ def test_everything_left_is_packed(stages):
     for r in rows:
         bins[r["sequence_id"]] += r["length"]
     assert max(bins.values()) <= packing.CAPACITY and len(bins) <= packing.lower_bound([r["length"] for r in rows]) + 1
+
+
+def _folder(spark, tmp_path, docs):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_odd_tables_go_through(spark, odd, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, and further columns: stages keep their columns, and pieces give each kept text's length."""
+    long = " ".join(f"word{i} stands here in line {i}" for i in range(20_000))
+    more = [(20, "The cat sat on the mat and looked at the rain.", "en", None, None), (20, "The cat sat on the mat and looked at the rain.", "en", None, None), (21, long, "en", "a", 1), (22, None, "en", None, 2), (None, None, None, None, None)]
+    docs = odd.union(spark.createDataFrame(more, odd.schema))
+    folder = _folder(spark, tmp_path, docs)
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = table(stage(spark, rows, folder))
+        assert rows.columns == odd.columns, name
+        assert not [r for r in rows.select("text").collect() if r["text"] is None or not r["text"].strip()], name
+    assert len({r["text"] for r in rows.collect()}) == rows.count()  # neither repeated rows nor copies are left
+    pieces = corpus_pipeline.run(spark, folder)
+    assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in rows.collect()}
+
+
+def test_empty_table_goes_through(spark, odd, tmp_path):
+    assert corpus_pipeline.run(spark, _folder(spark, tmp_path, odd.limit(0))).collect() == []
