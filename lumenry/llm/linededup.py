@@ -120,7 +120,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     # the same for long lines, a row a block
     least = 2 * LONG_LINE  # bytes that more words have
     rest = lines(docs.where(F.octet_length("text") >= least), least).where(F.size("words") > LONG_LINE)
-    rest = rest.select(*_PLACE, *hashes, F.explode("words").alias("w")).select(*_OWN, F.xxhash64("w").alias("x"))
+    rest = rest.select(*_PLACE, *hashes, "words")  # a line's hashes before its words are exploded, or they are taken once a word
+    rest = rest.select(*_OWN, F.explode("words").alias("w")).select(*_OWN, F.xxhash64("w").alias("x"))
     rest = rest.withColumn("k", _block_of(F.col("x"))).withColumn("m", F.call_function("shiftright", F.col("x"), F.col("k") * LANE))
     counts = rest.groupBy(*_OWN, "k").agg(F.count("*").alias("n"), *(F.sum(F.shiftright("m", i).bitwiseAND(F.lit(1))).alias(f"c{i}") for i in range(BITS)))
     block = F.shiftleft(F.least("n", F.lit(1 << 31)), BITS)
