@@ -3,9 +3,9 @@
 Lines are normalised (lower case, runs of blanks, punctuation and other marks to one space). Lines of the same normal form are one
 node. A node's SimHash has ``BLOCKS`` blocks of ``BITS`` bits. Every word belongs to one block, by its hash, and a block is the SimHash
 of its words, beside their number; so a changed word touches two blocks at most, however short or long the line is, where
-in a SimHash over all words it flips bits anywhere. Nodes that agree in ``MATCHING`` blocks which hold a quarter of a
-line's words (two at least) are candidates: every choice of that many blocks is a key. Lines that differ in one word
-always share a key; of those that differ in two, three or four words (replaced, 40 words a line) 81, 39 and 15 in 100 do, and
+in a SimHash over all words it flips bits anywhere. Nodes that agree in ``MATCHING`` blocks which hold enough of a
+line's words (one in ``SHARE``; two at least, three in lines of six and more) are candidates: every choice of that many blocks is a key. Lines that differ in one
+word nearly always share a key; of those that differ in two, three or four words (replaced, 40 words a line) 81, 39 and 15 in 100 do, and
 groups are connected through further members. Lines of one word have no near copies but equal ones.
 
 Candidates of edit similarity ``SIMILARITY`` or more are linked: 1 - edits / longer length, in characters, or in words where
@@ -33,6 +33,8 @@ from .graph import components
 
 BLOCKS, MATCHING = 5, 2
 SIMILARITY = 0.8
+#: A key holds one in so many of a line's words, and two words at least, three in lines of six and more: two words may be ones that very many lines have.
+SHARE, SEVERAL = 4, 6
 #: Characters beyond which similarity is counted in words.
 LONG = 128
 #: Buckets of up to so many lines are compared pair by pair; in larger ones, lines meet one lead, and what is open then is compared in arrays of so many lines.
@@ -139,7 +141,8 @@ def keys() -> Column:
     out = []
     for j, choice in enumerate(combinations(range(BLOCKS), MATCHING)):
         own = sum((words[k] for k in choice[1:]), words[choice[0]])
-        out.append(F.when((own >= 2) & (own * 4 >= total), F.xxhash64(F.lit(j), *(F.col(f"b{k}") for k in choice))))
+        enough = (own >= F.when(total >= SEVERAL, 3).otherwise(2)) & (own * SHARE >= total)
+        out.append(F.when(enough, F.xxhash64(F.lit(j), *(F.col(f"b{k}") for k in choice))))
     return F.array(*out)
 
 
@@ -218,12 +221,12 @@ def _in_blocks(open_: DataFrame, texts: DataFrame, similarity: float, block: int
 def linked(docs: DataFrame, every: DataFrame, unique: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, small: int = SMALL) -> DataFrame:
     """(node, component) of all nodes (by k1) with a link."""
     rows = unique.select(F.col("k1").alias("id"), F.explode(keys()).alias("key")).where("key is not null")
-    shared = table(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").drop("hi"))
-    members = table(rows.join(_small(shared), "key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    sized = table(members.join(_small(sizes), "key"))
+    shared = table(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("n > 1"))
+    # a key of two lines has both at hand; only larger buckets look their members up
+    sized = table(rows.join(_small(shared.where("n > 2").select("key", "lo", "n")), "key"))
     few, members = sized.where(F.col("n") <= small), sized.where(F.col("n") > small).withColumn("lead", F.col("id") == F.col("lo"))
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")))
     pairs = table(pairs.unionByName(members.where("not lead").select(F.col("lo").alias("a"), F.col("id").alias("b"))).distinct())
     members = members.select("key", "id", "lead")
     texts = _texts(docs, every, table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))

@@ -123,10 +123,11 @@ def blocks(norm):
 
 
 def candidates(a, b):
-    """Whether two lines' blocks agree in enough that hold a quarter of the words of each."""
+    """Whether two lines' blocks agree in enough that hold a quarter of the words of each, three of six and more, else two."""
     for choice in combinations(range(linededup.BLOCKS), linededup.MATCHING):
         n = sum(a[k][0] for k in choice)
-        if all(a[k] == b[k] for k in choice) and n >= 2 and all(4 * n >= sum(c for c, _ in x) for x in (a, b)):
+        totals = [sum(c for c, _ in x) for x in (a, b)]
+        if all(a[k] == b[k] for k in choice) and all(n >= (3 if t >= 6 else 2) and 4 * n >= t for t in totals):
             return True
     return False
 
