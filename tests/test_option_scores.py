@@ -34,3 +34,16 @@ def test_quota_fills_documents_of_questions_with_several_answers_only(spark):
     got = retrieval.option_evidence(df, F.col("item_id") == 1, k=3).collect()
     assert {(r["chunk_id"], r["is_extra"], r["max_chars"]) for r in got if r["item_id"] == 1} == {("x:0", False, 1166), ("x:1", False, 1166), ("x:2", False, 1166), ("y:0", True, 800), ("y:1", True, 800), ("z:0", True, 800)}
     assert {(r["chunk_id"], r["is_extra"], r["max_chars"]) for r in got if r["item_id"] == 2} == {(f"x:{k}", False, 1400) for k in range(3)}
+
+
+def test_option_max_score_has_the_scores_with_the_question_too(spark):
+    from lumenry.jobs import option_jobs
+
+    sf = "/root/testdata/sf0.001"
+    want = {(r["item_id"], r["option"]): (r["best"], r["n"]) for r in option_jobs._by_option(spark, sf).groupBy("item_id", "option").agg(F.round(F.max("score"), 3).alias("best"), F.count("*").alias("n")).collect()}
+    rows = option_jobs.option_max_score(spark, sf).collect()
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").count()
+    assert len(rows) == 4 * items
+    assert {(r["item_id"], r["option"]): (r["best_with_question"], r["n_with_question"]) for r in rows if r["n_with_question"]} == want
+    assert all(r["n_with_question"] >= r["n_chunks"] for r in rows)
+    assert sum(r["n_with_question"] for r in rows) > sum(r["n_chunks"] for r in rows)
