@@ -402,31 +402,40 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 _PARTIAL = "batch long, i binary, known binary, logs binary"
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows (batch, data, c), those of a batch beside each other, to one row a batch: places, known counts and sums of count * log10(c + 1). Arrow batches are handled whole, no row by itself."""
+    now, held = None, []
+
+    def out():
+        data, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        times = (data & np.uint32(0xFFFF)).astype(np.float64)
+        i, where = np.unique(data >> np.uint32(16), return_inverse=True)
+        known, logs = np.bincount(where, times * (c > 0)), np.bincount(where, times * np.log10(c + 1))
+        return {"batch": [now], "i": [i.astype("<u2").tobytes()], "known": [known.astype("<f8").tobytes()], "logs": [logs.astype("<f8").tobytes()]}
+
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        packed = rows.column(1).cast(pa.large_binary())
+        ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+        data = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u4")
+        ends = (ends - ends[0]) // 4
+        c = np.repeat(rows.column(2).to_numpy().astype(np.float64), np.diff(ends))
+        b = rows.column(0).to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        for x, lo, hi in zip(b[first].tolist(), ends[first], ends[np.append(first[1:], len(b))], strict=True):
+            if x != now:
+                if held:
+                    yield out()
+                now, held = x, []
+            held.append((data[lo:hi], c[lo:hi]))
+    if held:
+        yield out()
+
+
 def _rare_sums(postings: DataFrame) -> DataFrame:
     """Per batch and task: places, known counts and sums of count * log10(c + 1), packed. Rows come sorted by batch."""
-
-    def run(batches):
-        now, held = None, []
-
-        def out():
-            place = np.concatenate([d >> np.uint32(16) for d, _ in held])
-            times = np.concatenate([d & np.uint32(0xFFFF) for d, _ in held]).astype(np.float64)
-            c = np.repeat(np.array([c for _, c in held], np.float64), [len(d) for d, _ in held])
-            i, where = np.unique(place, return_inverse=True)
-            known, logs = np.bincount(where, times * (c > 0)), np.bincount(where, times * np.log10(c + 1))
-            return {"batch": [now], "i": [i.astype("<u2").tobytes()], "known": [known.astype("<f8").tobytes()], "logs": [logs.astype("<f8").tobytes()]}
-
-        for rows in batches:
-            for b, data, c in zip(*(x.to_pylist() for x in rows.columns), strict=True):
-                if b != now:
-                    if held:
-                        yield out()
-                    now, held = b, []
-                held.append((np.frombuffer(data, "<u4"), c))
-        if held:
-            yield out()
-
-    return map_rows(postings.select("batch", "data", "c").sortWithinPartitions("batch"), run, _PARTIAL)
+    return map_rows(postings.select("batch", "data", "c").sortWithinPartitions("batch"), lambda batches: _add_up(batches), _PARTIAL)
 
 
 def score(docs: DataFrame) -> DataFrame:
