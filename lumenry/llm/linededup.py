@@ -64,12 +64,14 @@ def words_of(line: Column) -> Column:
 
 
 def lines(docs: DataFrame, least: int = 0) -> DataFrame:
-    """(doc_id, h, pos, words): every line that is not blank (and has ``least`` bytes), h the hash of the whole text."""
+    """(doc_id, h, pos, words, line): every line that is not blank (and has ``least`` bytes), h the hash of the whole text, line a number.
+
+    The number is taken beside the words: conditions on words, given or inferred, stay above both, and a line is split once."""
     # hashes of texts are taken before the split, once a text
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
     rows = own.select("doc_id", "h", F.posexplode("lines").alias("pos", "line"))
     rows = rows.where(F.octet_length("line") >= least) if least else rows
-    return rows.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "h", "pos", words_of(F.col("line")).alias("words"))
+    return rows.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select(*_PLACE, words_of(F.col("line")).alias("words"), F.monotonically_increasing_id().alias("line"))
 
 
 def _block_of(x: Column) -> Column:
@@ -112,9 +114,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     in one task, so the exchange has a row a line.
     """
     hashes = [F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(1)).alias("k2")]
-    own = lines(docs).where(F.size("words") <= LONG_LINE).select(*_PLACE, *hashes, "words")
-    numbered = own.withColumn("line", F.monotonically_increasing_id())  # before words are exploded
-    word = numbered.select("line", *_OWN, F.explode("words").alias("w")).select("line", *_OWN, F.xxhash64("w").alias("x"))
+    own = lines(docs).where(F.size("words") <= LONG_LINE).select("line", *_PLACE, *hashes, "words")
+    word = own.select("line", *_OWN, F.explode("words").alias("w")).select("line", *_OWN, F.xxhash64("w").alias("x"))
     word = word.withColumn("m", F.call_function("shiftleft", F.lit(1).cast("long"), _block_of(F.col("x")) * LANE))
     bits = (F.sum(F.shiftright("x", i).bitwiseAND(F.col("m"))).alias(f"c{i}") for i in range(BITS))
     sums = word.groupBy("line").agg(*(F.max(c).alias(c) for c in _OWN), F.sum("m").alias("n"), *bits)
@@ -134,16 +135,20 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return short.unionByName(rare)
 
 
-def keys() -> Column:
-    """Array of keys from b0..: one for every choice of MATCHING blocks that hold enough of the line's words; null elsewhere."""
-    words = [F.shiftrightunsigned(f"b{k}", BITS) for k in range(BLOCKS)]
+def keyed(unique: DataFrame) -> DataFrame:
+    """(id, key) of nodes (k1, b0..): a key for every choice of MATCHING blocks that hold enough of the line's words.
+
+    Counts of words are columns before the keys are made: written into each key, they make a method of over 8,000 bytes, which the JVM doesn't compile."""
+    names = [f"b{k}" for k in range(BLOCKS)]
+    words = [F.shiftrightunsigned(b, BITS) for b in names]
     total = sum(words[1:], words[0])
+    enough = F.greatest(F.when(total >= SEVERAL, 3).otherwise(2), F.ceil(total / SHARE))
+    rows = unique.select(F.col("k1").alias("id"), *names, *(w.alias(f"n{k}") for k, w in enumerate(words)), enough.alias("enough"))
     out = []
     for j, choice in enumerate(combinations(range(BLOCKS), MATCHING)):
-        own = sum((words[k] for k in choice[1:]), words[choice[0]])
-        enough = (own >= F.when(total >= SEVERAL, 3).otherwise(2)) & (own * SHARE >= total)
-        out.append(F.when(enough, F.xxhash64(F.lit(j), *(F.col(f"b{k}") for k in choice))))
-    return F.array(*out)
+        own = sum((F.col(f"n{k}") for k in choice[1:]), F.col(f"n{choice[0]}"))
+        out.append(F.when(own >= F.col("enough"), F.xxhash64(F.lit(j), *(F.col(f"b{k}") for k in choice))))
+    return rows.select("id", F.explode(F.array(*out)).alias("key")).where("key is not null")
 
 
 def _small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -155,19 +160,22 @@ def _texts(docs: DataFrame, every: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, size, norm, codes) of lines by k1: norm where it may be compared in characters, codes where in words (a character a word).
 
     Texts meet a row a document, with the places of its wanted lines."""
-    first = every.join(_small(ids), F.col("k1") == F.col("id"), "left_semi").groupBy("k1").agg(F.min(F.struct(*_PLACE)).alias("f"))
-    wanted = table(first.select(F.col("k1").alias("id"), F.col("f.doc_id").alias("w_id"), F.col("f.h").alias("w_h"), F.col("f.pos").alias("w_pos")))
-    small = wanted.count() <= BROADCAST_IDS
+    # any place of a line will do; the three columns are of one row
+    places = (F.first(c).alias(w) for c, w in zip(_PLACE, ("w_id", "w_h", "w_pos"), strict=True))
+    wanted = table(every.join(_small(ids), F.col("k1") == F.col("id"), "left_semi").groupBy(F.col("k1").alias("id")).agg(*places))
+    n = wanted.count()
+    small = n <= BROADCAST_IDS
     held = wanted.groupBy("w_id", "w_h").agg(F.collect_list(F.struct("id", "w_pos")).alias("places"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))
     rows = source.join(F.broadcast(held) if small else held, on).select("places", F.split("text", "\n").alias("lines"))
-    found = rows.select(F.explode(F.transform("places", lambda p: F.struct(p["id"].alias("id"), F.element_at("lines", p["w_pos"] + 1).alias("line")))).alias("x"))
-    found = found.select("x.id", words_of(F.col("x.line")).alias("words")).withColumn("norm", F.array_join("words", " "))
+    found = rows.select("lines", F.explode("places").alias("x")).select("x.id", words_of(F.element_at("lines", F.col("x.w_pos") + 1)).alias("words"))
+    found = found.withColumn("norm", F.array_join("words", " "))
     one = F.decode(F.unhex(F.array_join(F.transform("words", lambda w: F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x3FFF)) + 0x4E00)), "")), "UTF-16BE")
     size = F.length("norm")
     found = found.select("id", size.alias("size"), F.when(size <= LONG, F.col("norm")).alias("norm"), F.when(size >= SIMILARITY * LONG, one).alias("codes"))
-    return table(found.dropDuplicates(["id"]))
+    found = table(found)
+    return found if found.count() == n else table(found.dropDuplicates(["id"]))  # rows repeated with the same id and text have their lines twice
 
 
 def _alike(a: Column, b: Column, similarity: float) -> Column:
@@ -220,7 +228,7 @@ def _in_blocks(open_: DataFrame, texts: DataFrame, similarity: float, block: int
 
 def linked(docs: DataFrame, every: DataFrame, unique: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, small: int = SMALL) -> DataFrame:
     """(node, component) of all nodes (by k1) with a link."""
-    rows = unique.select(F.col("k1").alias("id"), F.explode(keys()).alias("key")).where("key is not null")
+    rows = keyed(unique)
     shared = table(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("n > 1"))
     # a key of two lines has both at hand; only larger buckets look their members up
     sized = table(rows.join(_small(shared.where("n > 2").select("key", "lo", "n")), "key"))
@@ -236,7 +244,8 @@ def linked(docs: DataFrame, every: DataFrame, unique: DataFrame, similarity: flo
     if open_.head(1):
         more = table(_in_blocks(open_, texts, similarity, block))
         if more.head(1):
-            parts = components(links.unionByName(more))
+            # what is connected so far goes on as stars
+            parts = components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     return parts
 
 
@@ -269,7 +278,8 @@ def mark(docs: DataFrame, **parameters) -> DataFrame:
     rows, positions = drops.agg(F.count("*"), F.coalesce(F.sum(F.size("_drops")), F.lit(0))).first()
     small = rows <= BROADCAST_ROWS and positions <= BROADCAST_POSITIONS
     own = docs.withColumn("_h", F.xxhash64("text"))
-    if own.groupBy("doc_id", "_h").count().where("count > 1").head(1):
+    # ids first: where they are unique, no text is read
+    if docs.groupBy("doc_id").count().where("count > 1").head(1) and own.groupBy("doc_id", "_h").count().where("count > 1").head(1):
         own = own.dropDuplicates(["doc_id", "_h"])
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("d_id")) & (F.col("_h") == F.col("d_h"))
     return own.join(F.broadcast(drops) if small else drops, on, "left").drop("d_id", "d_h", "_h").withColumn("_lines", F.split("text", "\n"))

@@ -225,6 +225,32 @@ def test_signatures_of_short_and_long_lines(spark, monkeypatch):
             assert got == [n << linededup.BITS | bits for n, bits in blocks(lines[r["doc_id"]])]
 
 
+def test_lines_are_split_once_and_keys_are_compiled(spark, lined, capsys):
+    """A condition on a line's words doesn't split it again, and no method of the keys is over the 8,000 bytes that the JVM compiles."""
+    every = linededup.occurrences(lined)
+    plan = every._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    bounds = [x for x in plan if f"<= {linededup.LONG_LINE})" in x]
+    assert bounds and not any("split(" in x for x in bounds)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        capsys.readouterr()
+        linededup.keyed(spark.createDataFrame([], "k1 long, b0 long, b1 long, b2 long, b3 long, b4 long")).explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) < 8000
+
+
+def test_texts_of_lines_in_rows_that_occur_again(spark):
+    """Rows repeated with the same id and text give each of their lines one text."""
+    rows = [(1, "a b c d e f g h\nother line here"), (1, "a b c d e f g h\nother line here"), (2, "a b c d e f g i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    every = linededup.occurrences(df)
+    texts = linededup._texts(df, every, every.select(linededup.F.col("k1").alias("id")).distinct()).collect()
+    assert sorted(r["norm"] for r in texts) == ["a b c d e f g h", "a b c d e f g i", "other line here"]
+
+
 def test_line_dedup_against_edit_similarity_alone(spark):
     """Pairs of a line and a copy with changed words: all of similarity 0.8 or more are wanted, whatever their blocks."""
     rng, rows, want = random.Random(11), [], {n: [] for n in (1, 2, 3, 4)}
