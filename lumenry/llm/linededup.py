@@ -202,11 +202,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
     """(key, id, c, active, n, n_active): members of buckets that still have pairs to be compared. c is the component; active are members
     outside of the bucket's largest component, but for the lead. Every open pair has an active member."""
-    marked = members.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "lead", F.coalesce("component", "id").alias("c"))
-    major = marked.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
-    rows = marked.join(major, "key").withColumn("active", (F.col("c") != F.col("m.c")) & ~F.col("lead"))
-    left = rows.where("active").groupBy("key").agg(F.count("*").alias("n_active"))
-    return table(rows.drop("m").join(left, "key"))
+    marked = members.join(_small(parts), F.col("id") == F.col("node"), "left")
+    marked = table(marked.select("key", "id", "lead", F.coalesce("component", "id").alias("c")))
+    by_part = marked.groupBy("key", "c").agg(F.count("*").alias("n"), F.count_if(~F.col("lead")).alias("n_active"))
+    # the most of (n, c), as c occurs once a key
+    sums = by_part.groupBy("key").agg(F.max(F.struct("n", "c", "n_active")).alias("m"), F.sum("n").alias("n"), F.sum("n_active").alias("n_active"))
+    left = table(sums.select("key", F.col("m.c").alias("major"), "n", (F.col("n_active") - F.col("m.n_active")).alias("n_active")).where("n_active > 0"))
+    rows = marked.join(_small(left), "key").withColumn("active", (F.col("c") != F.col("major")) & ~F.col("lead"))
+    return table(rows.select("key", "id", "lead", "c", "n", "active", "n_active"))
 
 
 def _in_blocks(open_: DataFrame, texts: DataFrame, similarity: float, block: int) -> DataFrame:

@@ -46,6 +46,21 @@ def test_components_of_long_paths_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 300_000])
+def test_components_shuffle_little(spark, monkeypatch, most):
+    """Every exchange is a job of as many tasks as there are partitions, however few rows there are: hubs, a path and links of hubs."""
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 3000, (1500, 2))] + [(9000 - k, 9001 - k) for k in range(120)]
+    edges += [(10_000 + 100 * h, 10_000 + 100 * h + k) for h in range(20) for k in range(1, 60)] + [(10_000 + 100 * h + 7, 10_100 + 100 * h + 9) for h in range(19)]
+    exchanges, write = [], graph.table
+    monkeypatch.setattr(graph, "table", lambda df: exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or write(df))
+    monkeypatch.setattr(graph, "BROADCAST_NODES", most, raising=False)
+    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    edges = [e for e in edges if e[0] != e[1]]
+    assert got == partition(edges, {n for e in edges for n in e})
+    assert sum(exchanges) <= 6 or not most
+
+
 @pytest.fixture(scope="module")
 def near(spark):
     """Groups of near copies of several sizes and distances, exact copies, and unrelated texts."""
