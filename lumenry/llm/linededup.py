@@ -53,9 +53,10 @@ _PLACE = ("doc_id", "h", "pos")
 _OWN = (*_PLACE, "k1", "k2")
 
 
-#: What stands between words: blanks, marks of ASCII and Latin-1 one by one (a set looked up by bit), and Unicode's blocks of punctuation.
-_MARKS = "".join("\\" + chr(c) for c in (*range(32, 48), *range(58, 65), *range(91, 97), *range(123, 127), *range(161, 170), *range(171, 178), 180, *range(182, 185), 187, 191, 215, 247))
-_BETWEEN = rf"[{_MARKS}\t\r\f\x0b\x85\xa0\u2000-\u206f\u3000-\u303f]++"
+#: What stands between words: blanks, marks of ASCII and Latin-1 one by one (a set looked up by bit), and Unicode's blocks of punctuation, in one
+#: range that a letter is outside of. The pattern is read once a line, so only what has a meaning in a set is escaped.
+_MARKS = "".join("\\" * (chr(c) in r"[\]^-&") + chr(c) for c in (*range(32, 48), *range(58, 65), *range(91, 97), *range(123, 127), *range(161, 170), *range(171, 178), 180, *range(182, 185), 187, 191, 215, 247))
+_BETWEEN = rf"[{_MARKS}\t\r\f\x0b\x85\xa0[\u2000-\u303f&&[\u2000-\u206f\u3000-\u303f]]]++"
 
 
 def words_of(line: Column) -> Column:
@@ -63,6 +64,12 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), _BETWEEN), "")
 
 
+def _not_blank(line: Column) -> Column:
+    """Whether there is a letter or digit; most lines begin with one of ASCII, which is told by bytes."""
+    begins = [(line >= a) & (line < b) for a, b in (("a", "{"), ("A", "["), ("0", ":"))]
+    return begins[0] | begins[1] | begins[2] | line.rlike(r"[\p{L}\p{N}]")
+
+
 def lines(docs: DataFrame, least: int = 0) -> DataFrame:
     """(doc_id, h, pos, words, line): every line that is not blank (and has ``least`` bytes), h the hash of the whole text, line a number.
 
@@ -71,7 +78,7 @@ def lines(docs: DataFrame, least: int = 0) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
     rows = own.select("doc_id", "h", F.posexplode("lines").alias("pos", "line"))
     rows = rows.where(F.octet_length("line") >= least) if least else rows
-    return rows.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select(*_PLACE, words_of(F.col("line")).alias("words"), F.monotonically_increasing_id().alias("line"))
+    return rows.where(_not_blank(F.col("line"))).select(*_PLACE, words_of(F.col("line")).alias("words"), F.monotonically_increasing_id().alias("line"))
 
 
 def _block_of(x: Column) -> Column:
@@ -107,32 +114,38 @@ def _ones_times(x: int) -> int:
     return sum(x << (LANE * k) for k in range(BLOCKS))
 
 
+def _place_hashes(x: str, at: str) -> list[Column]:
+    """k1 and k2 of a line (or of some of its words; parts are joined by the same sum): exclusive-or of hashes of each word's hash and place."""
+    return [F.bit_xor(F.xxhash64(x, at)).alias("k1"), F.bit_xor(F.xxhash64(at, x)).alias("k2")]
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos, k1, k2, b0..) of every line: k1 and k2 stand for its normal form, b0.. are the blocks of its SimHash.
 
-    Words are exploded and added up by line in generated code: each adds its bits to its block's lane of sixteen numbers. A line's words are
-    in one task, so the exchange has a row a line.
+    Words are exploded and added up by line in generated code: each adds its bits to its block's lane of sixteen numbers, and its hash with its
+    place to k1 and k2, so a word is hashed once. A line's words are in one task, so the exchange has a row a line.
     """
-    hashes = [F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(1)).alias("k2")]
-    own = lines(docs).where(F.size("words") <= LONG_LINE).select("line", *_PLACE, *hashes, "words")
-    word = own.select("line", *_OWN, F.explode("words").alias("w")).select("line", *_OWN, F.xxhash64("w").alias("x"))
+    own = lines(docs).where(F.size("words") <= LONG_LINE)
+    word = own.select("line", *_PLACE, F.posexplode("words").alias("at", "w")).select("line", *_PLACE, "at", F.xxhash64("w").alias("x"))
     word = word.withColumn("m", F.call_function("shiftleft", F.lit(1).cast("long"), _block_of(F.col("x")) * LANE))
     bits = (F.sum(F.shiftright("x", i).bitwiseAND(F.col("m"))).alias(f"c{i}") for i in range(BITS))
-    sums = word.groupBy("line").agg(*(F.max(c).alias(c) for c in _OWN), F.sum("m").alias("n"), *bits)
+    place = [F.max(c).alias(c) for c in _PLACE]
+    sums = word.groupBy("line").agg(*place, *_place_hashes("x", "at"), F.sum("m").alias("n"), *bits)
     short = sums.select(*_OWN, *_from_lanes())
     # the same for long lines, a row a block
     least = 2 * LONG_LINE  # bytes that more words have
     rest = lines(docs.where(F.octet_length("text") >= least), least).where(F.size("words") > LONG_LINE)
-    rest = rest.select(*_PLACE, *hashes, "words")  # a line's hashes before its words are exploded, or they are taken once a word
-    rest = rest.select(*_OWN, F.explode("words").alias("w")).select(*_OWN, F.xxhash64("w").alias("x"))
+    rest = rest.select("line", *_PLACE, F.posexplode("words").alias("at", "w")).select("line", *_PLACE, "at", F.xxhash64("w").alias("x"))
     rest = rest.withColumn("k", _block_of(F.col("x"))).withColumn("m", F.call_function("shiftright", F.col("x"), F.col("k") * LANE))
-    counts = rest.groupBy(*_OWN, "k").agg(F.count("*").alias("n"), *(F.sum(F.shiftright("m", i).bitwiseAND(F.lit(1))).alias(f"c{i}") for i in range(BITS)))
+    bits = (F.sum(F.shiftright("m", i).bitwiseAND(F.lit(1))).alias(f"c{i}") for i in range(BITS))
+    counts = rest.groupBy("line", "k").agg(*place, *_place_hashes("x", "at"), F.count("*").alias("n"), *bits)
     block = F.shiftleft(F.least("n", F.lit(1 << 31)), BITS)
     for i in range(BITS):
         block = block + F.when(F.col(f"c{i}") * 2 > F.col("n"), 1 << i).otherwise(0)
-    counts = counts.select(*_OWN, "k", block.alias("b"))
-    rare = counts.groupBy(*_OWN).agg(*(F.coalesce(F.max(F.when(F.col("k") == k, F.col("b"))), F.lit(0)).alias(f"b{k}") for k in range(BLOCKS)))
-    return short.unionByName(rare)
+    counts = counts.select("line", *_OWN, "k", block.alias("b"))
+    blocks = (F.coalesce(F.max(F.when(F.col("k") == k, F.col("b"))), F.lit(0)).alias(f"b{k}") for k in range(BLOCKS))
+    rare = counts.groupBy("line").agg(*place, F.bit_xor("k1").alias("k1"), F.bit_xor("k2").alias("k2"), *blocks)
+    return short.unionByName(rare.select(*_OWN, *(f"b{k}" for k in range(BLOCKS))))
 
 
 def keyed(unique: DataFrame) -> DataFrame:
@@ -222,11 +235,11 @@ def _in_blocks(open_: DataFrame, texts: DataFrame, similarity: float, block: int
     theirs = rows.groupBy("key", deal("nb", 2).alias("j"), "na").agg(F.collect_list(member).alias("ys"))
     theirs = theirs.select("key", "j", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), "ys")
 
-    def partners(x: Column) -> Column:
-        meets = lambda y: (x["c"] != y["c"]) & (~y["active"] | (x["id"] < y["id"])) & _alike(x, y, similarity)
-        return F.transform(F.filter("ys", meets), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v")))
-
-    return ours.join(theirs, ["key", "i", "j"]).select(F.explode(F.flatten(F.transform("xs", partners))).alias("e")).select("e.u", "e.v")
+    # a pair of members a row, told in generated code; functions of arrays are interpreted
+    pairs = ours.join(theirs, ["key", "i", "j"]).select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    meets = (x["c"] != y["c"]) & (~y["active"] | (x["id"] < y["id"])) & _alike(x, y, similarity)
+    return pairs.where(meets).select(x["id"].alias("u"), y["id"].alias("v"))
 
 
 def linked(docs: DataFrame, every: DataFrame, unique: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, small: int = SMALL) -> DataFrame:
@@ -275,7 +288,7 @@ def dropped_lines(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def mark(docs: DataFrame, **parameters) -> DataFrame:
-    """Every distinct (doc_id, text) row, all columns, with its ``_lines`` and ``_drops`` (null if none)."""
+    """Every distinct (doc_id, text) row, all columns, with its ``_drops`` and, to take the rest from, its ``_lines`` (both null if no line goes)."""
     drops = dropped_lines(docs, **parameters)
     drops = drops.select(F.col("doc_id").alias("d_id"), F.col("h").alias("d_h"), F.col("drops").alias("_drops"))
     rows, positions = drops.agg(F.count("*"), F.coalesce(F.sum(F.size("_drops")), F.lit(0))).first()
@@ -285,7 +298,7 @@ def mark(docs: DataFrame, **parameters) -> DataFrame:
     if docs.groupBy("doc_id").count().where("count > 1").head(1) and own.groupBy("doc_id", "_h").count().where("count > 1").head(1):
         own = own.dropDuplicates(["doc_id", "_h"])
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("d_id")) & (F.col("_h") == F.col("d_h"))
-    return own.join(F.broadcast(drops) if small else drops, on, "left").drop("d_id", "d_h", "_h").withColumn("_lines", F.split("text", "\n"))
+    return own.join(F.broadcast(drops) if small else drops, on, "left").drop("d_id", "d_h", "_h").withColumn("_lines", F.when(F.col("_drops").isNotNull(), F.split("text", "\n")))
 
 
 def _rest() -> Column:
@@ -308,7 +321,7 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
     marked = mark(docs, **parameters).withColumn("_rest", F.when(F.col("_drops").isNotNull(), F.array_join(_rest(), "\n")).otherwise(F.col("text")))
     return marked.select(
         "doc_id",
-        F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long").alias("n_dropped"),
         F.coalesce(F.array_join(F.array_sort("_drops"), ","), F.lit("")).alias("dropped"),
         F.sha2(F.coalesce("_rest", F.lit("")), 256).alias("kept_sha256"),

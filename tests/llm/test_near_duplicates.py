@@ -257,6 +257,43 @@ def test_lines_are_split_once_and_keys_are_compiled(spark, lined, capsys):
     assert sizes and max(sizes) < 8000
 
 
+def test_a_word_is_hashed_once_and_pairs_are_compiled(spark, lined, capsys):
+    """No hash over all words of a line beside those of the words; no array function, which is interpreted, compares the pairs of open buckets."""
+    plan = linededup.occurrences(lined)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(words" not in plan and plan.count("posexplode(words") == 2
+    open_ = spark.createDataFrame([], "key long, id long, lead boolean, c long, n long, active boolean, n_active long")
+    linededup._in_blocks(open_, spark.createDataFrame([], "id long, size int, norm string, codes string"), 0.8, 4).explain()
+    assert "lambda" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("limit", [linededup.LONG_LINE, 2])
+def test_keys_of_lines_tell_normal_forms_apart(spark, monkeypatch, limit):
+    """k1 and k2 are the same for one normal form only, also by themselves; short and long lines go by different ways."""
+    monkeypatch.setattr(linededup, "LONG_LINE", limit)
+    forms = ["a b c", "c b a", "a b", "a b c c", "a b c a", "a a", "a", "b", "a a a", "é a"]
+    rows = [(k, f"{x}\n {x.upper().replace(' ', ', ')}!\n\u2026{x}") for k, x in enumerate(forms)]
+    got = linededup.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3 * len(forms)
+    for key in (("k1",), ("k2",), ("k1", "k2")):
+        assert len({tuple(r[c] for c in key) for r in got}) == len(forms) == len({(r["doc_id"], *(r[c] for c in key)) for r in got})
+
+
+def test_marks_between_words(spark):
+    """Every character of the basic plane, and one beyond it, between two letters."""
+    chars = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x10000), 0x1F600)]
+    df = spark.createDataFrame([(ord(c), f"a{c}b") for c in chars], "c long, line string")
+    got = {r[0] for r in df.where(linededup.F.size(linededup.words_of(linededup.F.col("line"))) > 1).select("c").collect()}
+    latin = "\t\r\f\x0b\x85\xa0!\"#$%&'()*+,-./ :;<=>?@[\\]^_`{|}~\xa1\xa2\xa3\xa4\xa5\xa6\xa7\xa8\xa9\xab\xac\xad\xae\xaf\xb0\xb1\xb4\xb6\xb7\xb8\xbb\xbf\xd7\xf7"
+    assert got == {*map(ord, latin), *range(0x2000, 0x2070), *range(0x3000, 0x3040)}
+
+
+def test_lines_of_documents_are_counted(spark):
+    texts = [None, "", "\n\n", "a b c\n\na b c\n", "x y\r\nz", "é\n\u2028\n", "--- 1\n_\n\u0663\n\u00b2", "a b c"]
+    got = linededup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_lines"] for r in got} == {k: 0 if x is None else len(x.split("\n")) for k, x in enumerate(texts)}
+    assert {r["doc_id"]: r["dropped"] for r in got if r["dropped"]} == {3: "2", 7: "0"}
+
+
 def test_texts_of_lines_in_rows_that_occur_again(spark):
     """Rows repeated with the same id and text give each of their lines one text."""
     rows = [(1, "a b c d e f g h\nother line here"), (1, "a b c d e f g h\nother line here"), (2, "a b c d e f g i")]
