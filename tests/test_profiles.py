@@ -81,3 +81,27 @@ def test_passages_by_one_scan_are_those_by_words(spark, monkeypatch, tmp_path):
     assert got == sorted(map(tuple, retrieval_jobs._gold_by_words(spark, str(tmp_path)).collect()))
     monkeypatch.setattr(retrieval_jobs, "PASSAGE_CHARS", 3)
     assert got == sorted(map(tuple, retrieval_jobs._gold(spark, str(tmp_path)).collect()))
+
+
+def test_no_text_moves_for_an_item(spark):
+    """Before, windows by item moved every candidate text once for each of its items."""
+    chunked = chunking.chunks(odd_documents(spark))
+    places = spark.createDataFrame([(i, d) for i in range(3) for d in range(5, 40)], "item_id long, doc_id long")
+    terms = spark.createDataFrame([(i, w, 1.0) for i in range(3) for w in ("alpha", "beta", "2020")], "item_id long, term string, weight double")
+    hits = retrieval.candidate_hits(chunked, places, terms)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert all("text#" not in line for line in plan.splitlines() if "Repartition" in line or "Window" in line)
+    want = retrieval.term_hits(retrieval.candidate_chunks(chunked, places), terms)
+    keys = ["item_id", "doc_id", "chunk_id", "term", "tf", "df", "n", "mean", "size"]
+    assert sorted(map(tuple, hits.select(*keys).collect())) == sorted(map(tuple, want.select(*keys).collect()))
+
+
+def test_candidates_are_the_only_windows_written(spark, monkeypatch):
+    """Before, windows of all documents were written for these queries."""
+    written = []
+    monkeypatch.setattr(retrieval_jobs, "_chunks", lambda *_: written.append("chunks"))
+    monkeypatch.setattr(shared, "_PREPARED", {})
+    sf = "/root/testdata/sf0.001"
+    assert retrieval_jobs.quota_coverage(spark, sf).count()
+    assert retrieval_jobs.chunk_recall_change(spark, sf).count()
+    assert not written
