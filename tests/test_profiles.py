@@ -109,4 +109,5 @@ def test_candidates_are_the_only_windows_written(spark, monkeypatch):
     assert retrieval_jobs.prompt_block(spark, sf).count()
     assert option_jobs.option_retrieval(spark, sf).count()
     assert option_jobs.question_retrieval(spark, sf).count()
+    assert option_jobs.option_max_score(spark, sf).count()
     assert not written
