@@ -110,4 +110,6 @@ def test_candidates_are_the_only_windows_written(spark, monkeypatch):
     assert option_jobs.option_retrieval(spark, sf).count()
     assert option_jobs.question_retrieval(spark, sf).count()
     assert option_jobs.option_max_score(spark, sf).count()
+    assert option_jobs.routed_selection(spark, sf).count()
+    assert option_jobs.route_diagnostics(spark, sf).count()
     assert not written
